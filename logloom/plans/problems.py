@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.operators import rejects
+from logloom.operators import clocks, rejects
 from logloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,20 @@ def p1_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.recounted(*(table(spark, folder, n) for n in names))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_readings(spark, folder).where("status <> 'no_time'").select("reading_id", "event_ns")
+
+
+def p2_readings(spark: SparkSession, folder: str) -> DataFrame:
+    return clocks.normalized(table(spark, folder, "clock_readings"), table(spark, folder, "clocks"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_loaded": p1_loaded,
     "p1_metrics": p1_metrics,
+    "p2_found": p2_found,
+    "p2_readings": p2_readings,
 }
 
 SQL: dict[str, str] = {}
