@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.operators import clocks, late, rejects, skew
+from logloom.operators import clocks, late, loglines, rejects, skew
 from logloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,18 @@ def p4_grammars(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select("grammar", *[F.col(c).cast("bigint").alias(c) for c in numbers])
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return loglines.entries(table(spark, folder, "app_lines"))
+
+
+def p5_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return loglines.entries(table(spark, folder, "app_lines"), texts=True)
+
+
+def p5_unparsed(spark: SparkSession, folder: str) -> DataFrame:
+    return loglines.unparsed(table(spark, folder, "app_lines"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_loaded": p1_loaded,
@@ -94,6 +106,9 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_peers": p4_peers,
     "p4_grammars": p4_grammars,
+    "p5_found": p5_found,
+    "p5_entries": p5_entries,
+    "p5_unparsed": p5_unparsed,
 }
 
 _ARRIVALS = """
