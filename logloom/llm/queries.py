@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe, mixing
+from logloom.llm import bpe, mixing, spans
 from logloom.sources.tables import table
 
 
@@ -22,10 +22,20 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_spans(table(spark, folder, "documents"))
+
+
+def p8_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_parts(table(spark, folder, "documents"), p8_found(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_parts": p8_parts,
 }
 
 SQL: dict[str, str] = {}
