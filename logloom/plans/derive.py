@@ -18,6 +18,7 @@ from logloom.functions import sql as F
 from logloom.functions.sql import E, column, with_columns
 from logloom.functions.times import clock_time
 from logloom.plans.grammar import Grammar, Library
+from logloom.storage import materialize
 
 #: Thresholds of the decision, the schema version, and the plausible range of an event's time.
 MARGIN, PENALTY, FLOOR = 0.12, 0.55, 0.70
@@ -306,13 +307,20 @@ def derive(
     )
 
 
+def settled(derived: DataFrame) -> DataFrame:
+    """The derivation written once, by verdict. Events and rejections are then parts of a table; a filter on the
+    verdict of the plan itself would be pushed into the chain of projections and have it computed again."""
+    return materialize(derived, "derived", ["verdict"])
+
+
 def events(derived: DataFrame) -> DataFrame:
-    """The rows of the lake."""
+    """The rows of the lake, of a settled derivation."""
     return derived.where("verdict = 'mapped'").select(*LAKE)
 
 
 def rejections(derived: DataFrame) -> DataFrame:
-    """record_id, verdict, detail, best_guess, confidence of what was not mapped; the bytes stay in the archive."""
+    """record_id, verdict, detail, best_guess, confidence of what was not mapped, of a settled derivation; the bytes
+    stay in the archive."""
     return derived.where("verdict <> 'mapped'").selectExpr(
         "record_id", "verdict", "detail", "CASE WHEN verdict <> 'unclaimed' THEN guess END AS best_guess",
         "CASE WHEN verdict <> 'unclaimed' THEN CAST(confidence AS DOUBLE) ELSE 0.0D END AS confidence",
