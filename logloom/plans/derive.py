@@ -249,11 +249,12 @@ def lined(records: DataFrame) -> DataFrame:
     )
 
 
-def derive(
+def derivation(
     records: DataFrame, library: Library | list[Grammar], generation: int = 0, processed_ms: int | None = None, floor: float = FLOOR,
     replay: bool = False,
 ) -> DataFrame:
-    """One row for each record: verdict, detail, and the columns of the lake where the verdict is `mapped`.
+    """One row for each record: verdict, detail, and the columns of the lake where the verdict is `mapped`. The bare
+    plan: to be written or aggregated, not filtered (see derive).
 
     records: id, payload, env, stratum as in the archive. Null payloads are empty lines, a null receipt is 0."""
     grammars = library.all() if isinstance(library, Library) else list(library)
@@ -307,19 +308,24 @@ def derive(
     )
 
 
-def settled(derived: DataFrame) -> DataFrame:
-    """The derivation written once, by verdict. Events and rejections are then parts of a table; a filter on the
-    verdict of the plan itself would be pushed into the chain of projections and have it computed again."""
-    return materialize(derived, "derived", ["verdict"])
+def derive(
+    records: DataFrame, library: Library | list[Grammar], generation: int = 0, processed_ms: int | None = None, floor: float = FLOOR,
+    replay: bool = False,
+) -> DataFrame:
+    """The derivation, written once by verdict, so that events and rejections are parts of a table.
+
+    A filter on the bare plan would be pushed into its chain of projections, where each step names the one before
+    many times; the plan would grow beyond measure."""
+    return materialize(derivation(records, library, generation, processed_ms, floor, replay), "derived", ["verdict"])
 
 
 def events(derived: DataFrame) -> DataFrame:
-    """The rows of the lake, of a settled derivation."""
+    """The rows of the lake, of what derive() gave."""
     return derived.where("verdict = 'mapped'").select(*LAKE)
 
 
 def rejections(derived: DataFrame) -> DataFrame:
-    """record_id, verdict, detail, best_guess, confidence of what was not mapped, of a settled derivation; the bytes
+    """record_id, verdict, detail, best_guess, confidence of what was not mapped, of what derive() gave; the bytes
     stay in the archive."""
     return derived.where("verdict <> 'mapped'").selectExpr(
         "record_id", "verdict", "detail", "CASE WHEN verdict <> 'unclaimed' THEN guess END AS best_guess",

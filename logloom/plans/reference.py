@@ -269,7 +269,7 @@ def clock_impossible(spark, d):
 # --- the whole engine over the archive ------------------------------------------------------------
 
 def _derived(spark, d, generation: int = 0) -> DataFrame:
-    return plans.settled(plans.derive(table(spark, d, "records"), Library(), generation=generation, processed_ms=0))
+    return plans.derive(table(spark, d, "records"), Library(), generation=generation, processed_ms=0)
 
 
 @query()
@@ -284,7 +284,7 @@ def derive_rejections(spark, d):
 
 @query()
 def rewind_generation(spark, d):
-    return plans.events(plans.settled(archive.rewound(table(spark, d, "records"), Library(), 3, processed_ms=0)))
+    return plans.events(archive.rewound(table(spark, d, "records"), Library(), 3, processed_ms=0))
 
 
 @query()
@@ -330,7 +330,7 @@ def rendered_round_trip(spark, d):
     )
     # stored first, as any delivery is; the plan then begins at a scan
     marked = materialize(rows.withColumn("id", F.col("k").cast("string").cast("binary")), "rendered")
-    got = plans.events(plans.settled(plans.derive(marked, Library(), processed_ms=0)))
+    got = plans.events(plans.derive(marked, Library(), processed_ms=0))
     return got.select(
         F.unhex("record_id").cast("string").cast("bigint").alias("k"), "grammar", "src_ip", "src_port", "time_ms", "disposition_id", "severity_id",
         "unmapped", "bytes_out",

@@ -36,7 +36,7 @@ def serve(lines: DataFrame, library: Library, sinks: dict[str, Sink], checkpoint
         if archive:
             rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{archive}/batch={number}")
             rows = df.sparkSession.read.parquet(f"{archive}/batch={number}")
-        derived = plans.settled(plans.derive(rows, library))
+        derived = plans.derive(rows, library)
         wrong = {}
         for name, sink in sinks.items():
             try:
