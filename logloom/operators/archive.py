@@ -1,7 +1,7 @@
 """The archive: payloads under their SHA-256, sealed by Merkle roots, audited and derived again.
 
 Identity is the hash of the payload alone, so a delivery of known bytes adds to `seen` and nothing else; the
-envelope of the first arrival stays. Records are ordered by seq and cut into strata by raw bytes, each with the
+envelope of the first arrival stays. Records are ordered by seq and cut into segments by raw bytes, each with the
 root over its ids in order and the root before it. Roots are folded in blocks of a power of two, so a level of
 the plan takes ten levels of the tree, and a stratum's size is bounded by its budget.
 """
@@ -114,7 +114,7 @@ def roots(records: DataFrame, most: int = 1 << 30) -> DataFrame:
 
 
 def sealed(records: DataFrame, sealed_ns: int = 0) -> DataFrame:
-    """stratum, prev_root, root, records, sealed_ns: the chain of strata, a row each."""
+    """stratum, prev_root, root, records, sealed_ns: the chain of segments, a row each."""
     chain = F.lag("root").over(Window.orderBy("stratum"))  # one row a stratum
     return roots(records).select(
         "stratum", F.coalesce(chain, F.lit(EMPTY_ROOT)).alias("prev_root"), "root", "records", F.lit(sealed_ns).cast("bigint").alias("sealed_ns")
@@ -188,18 +188,18 @@ def prove(records: DataFrame, record_id: bytes) -> Proof | None:
 
 # --- audit and replay -----------------------------------------------------------------------------
 
-def faults(records: DataFrame, strata: DataFrame) -> DataFrame:
+def faults(records: DataFrame, segments: DataFrame) -> DataFrame:
     """stratum, kind, record_id: content_mismatch (bytes that are not their id), root_mismatch, chain_break."""
     content = records.where(F.unhex(F.sha2("payload", 256)) != F.col("id")).select(
         "stratum", F.lit("content_mismatch").alias("kind"), F.lower(F.hex("id")).alias("record_id")
     )
     now = roots(records).select("stratum", F.col("root").alias("now"))
     none = F.lit(None).cast("string").alias("record_id")
-    root = strata.where(F.col("root").isNotNull()).join(now, "stratum", "left").where(~F.col("root").eqNullSafe(F.col("now"))).select(
+    root = segments.where(F.col("root").isNotNull()).join(now, "stratum", "left").where(~F.col("root").eqNullSafe(F.col("now"))).select(
         "stratum", F.lit("root_mismatch").alias("kind"), none
     )
     before = F.coalesce(F.lag("root").over(Window.orderBy("stratum")), F.lit(EMPTY_ROOT))
-    chain = strata.withColumn("before", before).where(~F.col("prev_root").eqNullSafe(F.col("before"))).select(
+    chain = segments.withColumn("before", before).where(~F.col("prev_root").eqNullSafe(F.col("before"))).select(
         "stratum", F.lit("chain_break").alias("kind"), none
     )
     return content.unionByName(root).unionByName(chain)

@@ -6,6 +6,7 @@ tables to lines in the vendors' formats, reading these back, and comparing with
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,8 @@ from logloom.plans import derive as plans
 from logloom.plans.grammar import Library
 from logloom.sources import lines, sinks
 from logloom.sources.tables import table
-from logloom.storage import materialize
+from logloom.storage import materialize, shared_folder
+from logloom.streaming import pipelines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,7 +57,7 @@ def dedupe_seen(spark, d):
 
 
 @query()
-def strata_sealed(spark, d):
+def segments_sealed(spark, d):
     return archive.sealed(table(spark, d, "records"))
 
 
@@ -363,6 +365,48 @@ def templates_of_lines(spark, d):
     return induce.templates(induce.bodies(rows).select("ord", "body"))
 
 
+# --- streams, run until their input is used up -----------------------------------------------------
+
+def _streamed(spark, df: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """Write df, read it as a stream in several batches, and collect what the stream gives."""
+    source = materialize(df.repartition(4), "stream-in").inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    built = build(stream)
+    writer = built.writeStream.option("checkpointLocation", f"{where}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{where}/out").start().awaitTermination()
+    else:
+        keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{where}/out")
+        writer.outputMode(mode).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(built.schema).parquet(f"{where}/out")
+
+
+@query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS starts, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    rows = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    got = _streamed(spark, rows, lambda s: pipelines.windowed_counts(s, "ts", "event_type", late="100 years"), "complete")
+    return got.select(F.unix_seconds("starts").alias("starts"), "event_type", "n")
+
+
+@query("""WITH a AS (SELECT event_ns, event_ns - event_ns % 3600000000000 AS hour_ns, received_ns FROM (
+    SELECT e.event_ns, min(r.env.received_ns) AS received_ns FROM (SELECT record_id, max(event_ns) AS event_ns FROM extractions GROUP BY 1) e
+    JOIN records r ON lower(hex(r.id)) = e.record_id WHERE e.event_ns IS NOT NULL GROUP BY e.record_id, e.event_ns))
+  SELECT hour_ns, count(*) FILTER (received_ns < hour_ns + 25200000000000) AS events, count(*) FILTER (received_ns >= hour_ns + 25200000000000) AS too_late
+  FROM a GROUP BY 1""")
+def stream_hours(spark, d):
+    times = table(spark, d, "extractions").groupBy(F.unhex("record_id").alias("id")).agg(F.max("event_ns").alias("event_ns")).where("event_ns IS NOT NULL")
+    came = table(spark, d, "records").groupBy("id").agg(F.min("env.received_ns").alias("arrival_ns"))
+    got = _streamed(spark, times.join(came, "id").select("event_ns", "arrival_ns"), pipelines.hourly, "append")
+    return got.groupBy("hour_ns").agg(F.sum(F.col("after") - F.col("before")).alias("events"), F.sum("too_late").alias("too_late"))
+
+
+@query()
+def stream_token_bucket(spark, d):
+    rows = table(spark, d, "records").select("seq", F.coalesce("env.peer", F.lit("")).alias("peer"), F.col("env.received_ns").alias("received_ns"))
+    return _streamed(spark, rows.where("received_ns IS NOT NULL"), lambda s: pipelines.rate_limited(s, 0.0005, 20), "append")
+
+
 # --- ratios ---------------------------------------------------------------------------------------
 
 @query("""SELECT grammar, count(*) AS n, count(*) FILTER (src_ip IS NOT NULL) / count(*) AS with_source, avg(coverage::DOUBLE) AS coverage

@@ -49,7 +49,7 @@ class Bucket:
     """Tokens of one peer; time in nanoseconds, and never backwards."""
 
     def __init__(self, rate: float, burst: float):
-        self.rate, self.burst, self.tokens, self.at = rate, burst, burst, None
+        self.rate, self.burst, self.tokens, self.at = float(rate), float(burst), float(burst), None
 
     def take(self, now: int) -> bool:
         if self.at is not None and now > self.at:
