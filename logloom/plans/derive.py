@@ -128,10 +128,19 @@ def _literal(value: Any) -> Leaf:
     return Leaf(plain.cast("variant"), as_text)
 
 
-def _field(name: str) -> Leaf:
+def _field(name: str, g: Grammar) -> Leaf:
+    """A field as it was typed. Without a JSON step only declared types and the facility are not text, which is told
+    without a look at the row."""
     value = F.col("f")[name]
-    typed = F.array_contains("t", name)
-    return Leaf(F.when(typed, F.try_parse_json(value)).otherwise(value.cast("variant")), value)
+    as_text = value.cast("variant")
+    if any(step.kind == "json" for step in g.pipeline):
+        return Leaf(F.when(F.array_contains("t", name), F.try_parse_json(value)).otherwise(as_text), value)
+    kind = "int" if name == "log_facility" else g.coerce.get(name, "str")
+    if kind == "int":
+        return Leaf(F.coalesce(value.try_cast("bigint").cast("variant"), as_text), value)
+    if kind in ("float", "bool"):
+        return Leaf(F.when(F.array_contains("t", name), F.try_parse_json(value)).otherwise(as_text), value)
+    return Leaf(as_text, value)
 
 
 def _table(enum) -> E:
@@ -180,11 +189,11 @@ def document(g: Grammar) -> dict:
     for path, value in g.emit.const.items():
         place(path, _literal(value))
     for path, source in g.emit.fields.items():
-        place(path, _field(source))
+        place(path, _field(source, g))
     for path, enum in g.emit.enums.items():
         place(path, _mapped_enum(enum))
         if enum.keep:
-            place(enum.keep, _field(enum.source))
+            place(enum.keep, _field(enum.source, g))
     timed = F.col("event_ns").isNotNull()
     if g.clock:
         original = F.when(timed, F.col("f")[g.clock.field])
