@@ -133,7 +133,7 @@ def fingerprint_counts(spark, d):
   LEFT JOIN (SELECT unnest(listeners) AS listener, any_value(grammar) AS grammar, any_value(family) AS family FROM grammars
              WHERE grammar IN ('suricata.alert', 'generic.cef', 'generic.leef') GROUP BY 1) g ON g.listener = r.env.listener
   WHERE g.grammar IS NOT NULL AND ends_with(rtrim(decode(r.payload), chr(9) || chr(10) || chr(13) || ' '), CASE WHEN family = 'json' THEN '}' ELSE '' END)
-    AND starts_with(decode(r.payload), CASE WHEN family = 'json' THEN '{' ELSE '<' END)
+    AND starts_with(CASE WHEN family = 'json' THEN ltrim(decode(r.payload)) ELSE decode(r.payload) END, CASE WHEN family = 'json' THEN '{' ELSE '<' END)
     AND (family = 'json' OR length(decode(r.payload)) - length(replace(decode(r.payload), '|', '')) >= 5)""")
 def shape_of_vendor_lines(spark, d):
     records = table(spark, d, "records").where(F.col("env.listener").isin(
