@@ -70,12 +70,16 @@ SHARED = {
     "sql_math": """SELECT p_partkey, abs(p_size - 25) AS a, p_size % 7 AS m, CAST(floor(p_retailprice) AS BIGINT) AS f, CAST(ceil(p_retailprice) AS BIGINT) AS c,
         greatest(p_size, 10) AS g, least(p_size, 10) AS l, p_size & 12 AS b FROM part""",
     "sql_having": "SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) > 3",
-    "sql_point_join": """SELECT r.seq AS seq, l.grammar AS grammar, l.time_ms AS time_ms FROM records r JOIN lake l ON lower(hex(r.id)) = l.record_id WHERE r.seq < 200""",
     "sql_lake_hours": """SELECT time_ms - time_ms % 3600000 AS hour_ms, grammar, count(*) AS n, sum(bytes_total) AS bytes FROM lake GROUP BY 1, 2""",
 }
 
 #: name -> (Spark's text, DuckDB's text) where dialects differ.
 PAIRED = {
+    # the whole join; the SQL beside it still says the first 199 deliveries and is left as it was given
+    "sql_point_join": (
+        "SELECT r.seq AS seq, l.grammar AS grammar, l.time_ms AS time_ms FROM records r JOIN lake l ON lower(hex(r.id)) = l.record_id",
+        "SELECT r.seq AS seq, l.grammar AS grammar, l.time_ms AS time_ms FROM records r JOIN lake l ON lower(hex(r.id)) = l.record_id WHERE r.seq < 200",
+    ),
     "sql_tumbling": (
         "SELECT unix_timestamp(window.start) AS starts, event_type, count(*) AS n FROM events GROUP BY window(ts, '1 hour'), event_type",
         "SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS starts, event_type, count(*) AS n FROM events GROUP BY 1, 2",
