@@ -3,6 +3,9 @@
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
+from pyspark.sql import functions as F
+
+from logloom.operators import induce
 from logloom.sources.tables import table
 
 
@@ -14,3 +17,35 @@ def test_point_join_sees_every_delivery(spark, small):
     got = entry.queries()["sql_point_join"](spark, small)
     assert Counter((r.seq, r.grammar, r.time_ms) for r in got.collect()) == want
     assert max(seq for seq, *_ in want) >= 200
+
+
+def greedy(bodies):
+    """(template, count, example) of the lines in order, each compared with every template of its token count."""
+    groups = defaultdict(list)
+    for body in bodies:
+        line = [induce.masked(t) for t in induce.tokens(body)]
+        best, score = None, 0.0
+        for g in groups[len(line)]:
+            same = sum(a in (b, "<*>") for a, b in zip(g[0], line)) / len(line) if line else 0.0
+            if same >= 0.55 and same > score:
+                best, score = g, same
+        if best is None:
+            groups[len(line)].append([line, 1, body])
+        else:
+            best[0] = [a if a == b else "<*>" for a, b in zip(best[0], line)]
+            best[1] += 1
+    return Counter((" ".join(t), n, e) for found in groups.values() for t, n, e in found)
+
+
+def test_templates_take_lines_beyond_any_sample(spark):
+    body = F.when(F.col("id") < 20_100, F.concat(F.lit("user u"), F.col("id"), F.lit(" logged in"))).otherwise("a template, that comes = last")
+    lines = spark.range(20_200).select(F.col("id").alias("ord"), body.alias("body"))
+    assert {(r.template, r.n) for r in induce.templates(lines).collect()} == {("user <*> logged in", 20_100), ("a template , that comes = last", 100)}
+
+
+def test_templates_as_a_plain_greedy_pass(spark, small):
+    rows = table(spark, small, "records").select(F.col("seq").alias("ord"), "payload")
+    odd = spark.createDataFrame([(-3, "a\u00a0b  c\x1cd"), (-2, "a b <*> d"), (-1, "a b c x"), (-4, ""), (-5, "")], "ord bigint, body string")
+    lines = induce.bodies(rows).select("ord", "body").unionByName(odd)
+    want = greedy(r.body for r in lines.orderBy("ord").collect())
+    assert Counter((r.template, r.n, r.example) for r in induce.templates(lines).collect()) == want
