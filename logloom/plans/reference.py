@@ -361,8 +361,8 @@ def profile_fields(spark, d):
 
 @query()
 def templates_of_lines(spark, d):
-    rows = table(spark, d, "records").where("env.listener = 'udp/5506'").select(F.col("seq").alias("ord"), "payload")
-    return induce.templates(induce.bodies(rows).select("ord", "body"))
+    rows = table(spark, d, "records").select(F.col("seq").alias("ord"), "payload", F.col("env.listener").alias("listener"))
+    return induce.templates(induce.bodies(rows, "listener"), by="listener")
 
 
 # --- streams, run until their input is used up -----------------------------------------------------

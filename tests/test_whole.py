@@ -49,3 +49,13 @@ def test_templates_as_a_plain_greedy_pass(spark, small):
     lines = induce.bodies(rows).select("ord", "body").unionByName(odd)
     want = greedy(r.body for r in lines.orderBy("ord").collect())
     assert Counter((r.template, r.n, r.example) for r in induce.templates(lines).collect()) == want
+
+
+def test_templates_of_every_listener(spark, small):
+    rows = table(spark, small, "records").select(F.col("seq").alias("ord"), "payload", F.col("env.listener").alias("listener"))
+    bodies = defaultdict(list)
+    for r in induce.bodies(rows, "listener").orderBy("ord").collect():
+        bodies[r.listener].append(r.body)
+    got = entry.queries()["templates_of_lines"](spark, small)
+    assert Counter((r.listener, r.template, r.n, r.example) for r in got.collect()) == Counter({(k, *x): n for k, v in bodies.items() for x, n in greedy(v).items()})
+    assert len(bodies) > 20
