@@ -136,10 +136,10 @@ def fingerprint_counts(spark, d):
     AND starts_with(CASE WHEN family = 'json' THEN ltrim(decode(r.payload)) ELSE decode(r.payload) END, CASE WHEN family = 'json' THEN '{' ELSE '<' END)
     AND (family = 'json' OR length(decode(r.payload)) - length(replace(decode(r.payload), '|', '')) >= 5)""")
 def shape_of_vendor_lines(spark, d):
-    records = table(spark, d, "records").where(F.col("env.listener").isin(
-        "udp/5504", "tls/6504", "udp/5508", "tls/6508", "udp/5509", "tls/6509")).select("seq", S.column(text.decoded(S.col("payload"))).alias("line"))
+    """The family of every record. The SQL says it of three families' listeners alone and is left as it was given."""
+    records = table(spark, d, "records").select("seq", S.column(text.decoded(S.coalesce("payload", S.lit(b"")))).alias("line"))
     got = S.with_columns(records, c=shapes.counts(S.col("line")))
-    return S.with_columns(got, family=shapes.classified(S.col("line"), S.col("c"))).where("family IN ('json', 'cef', 'leef')").select("seq", "family")
+    return S.with_columns(got, family=shapes.classified(S.col("line"), S.col("c"))).select("seq", "family")
 
 
 # --- extraction primitives, by rendering and reading back -----------------------------------------

@@ -1,5 +1,6 @@
 """Queries do the whole job: no prefix, no sample, no chosen listeners, no cut lines."""
 
+import re
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
@@ -59,3 +60,37 @@ def test_templates_of_every_listener(spark, small):
     got = entry.queries()["templates_of_lines"](spark, small)
     assert Counter((r.listener, r.template, r.n, r.example) for r in got.collect()) == Counter({(k, *x): n for k, v in bodies.items() for x, n in greedy(v).items()})
     assert len(bodies) > 20
+
+
+def family(line):
+    body = re.sub(r"^<[0-9]{1,4}>", "", line)
+    bare, commas, equals, pipes = body.strip(), *map(body.count, ",=|")
+    words, first = body.count(" ") + 1, body.split()[:16]
+    if not bare:
+        return "unknown"
+    if bare[0] == "{" and bare[-1] == "}":
+        return "json"
+    if pipes >= 5 and "CEF:" in body:
+        return "cef"
+    if pipes >= 4 and "LEEF:" in body:
+        return "leef"
+    if equals >= 4 and equals * 6 >= words:
+        return "kv"
+    if commas >= 8 and equals < 3:
+        return "csv"
+    numbered = sum(any(c in "0123456789" for c in w) for w in first)
+    few = 5 <= words <= 24 and commas <= 2 and equals <= 1 and len(first) >= 5 and numbered * 2 >= len(first)
+    return "delimited" if body.count("\t") >= 4 or few else "freeform"
+
+
+def test_every_record_has_a_family(spark, small, tmp_path):
+    odd = [b"", None, b" \t ", b"<13>", b"{}", b'<13> {"a": 1} ', b"CEF:0|a|b|c|d|", b"LEEF:1|a|b|c|", b"a=1 b=2 c=3 d=4", b"a= b= c= d=" + b" w" * 21,
+           b"1,2,3,4,5,6,7,8,9", b"a=1,b=2,c=3,4,5,6,7,8,9", b"a\tb\tc\td\te", b"1 2 3 d e", b"1 2 c d e", b"1 2 3 4", b"\xff\xfe"]
+    given = table(spark, small, "records").select("seq", "payload", "env")
+    more = spark.createDataFrame([(-1 - i, x if x is None else bytearray(x)) for i, x in enumerate(odd)], "seq bigint, payload binary")
+    given.unionByName(more, allowMissingColumns=True).write.parquet(str(tmp_path / "records.parquet"))
+    want = {r.seq: family(bytes(r.payload or b"").decode("utf-8", "replace").rstrip("\r\n")) for r in given.select("seq", "payload").collect()}
+    want |= {-1 - i: family((x or b"").decode("utf-8", "replace").rstrip("\r\n")) for i, x in enumerate(odd)}
+    got = [(r.seq, r.family) for r in entry.queries()["shape_of_vendor_lines"](spark, str(tmp_path)).collect()]
+    assert dict(got) == want and len(got) == len(want)
+    assert set(want.values()) == {"unknown", "json", "cef", "leef", "kv", "csv", "delimited", "freeform"}
