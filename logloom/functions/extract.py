@@ -201,7 +201,8 @@ def cef(s: E) -> E:
     def read(parts: E) -> E:
         # a value ends where white space and the next key follow; what holds a bare `=` before its last key is passed over
         chunks = F.split(F.get(parts, F.lit(7)), rf"{FLAGS}\s+(?=[A-Za-z][A-Za-z0-9_]*=)", -1)
-        ends = F.transform(chunks, lambda c: captured(c, r"([A-Za-z][A-Za-z0-9_]*)=((?:[^=\\]|\\.)*)$", [1, 2]))
+        # possessive: Java repeats other groups by recursion, which a long value would take beyond the stack
+        ends = F.transform(chunks, lambda c: captured(c, r"([A-Za-z][A-Za-z0-9_]*)=((?:[^=\\]|\\.)*+)$", [1, 2]))
         plain = lambda v: stripped(F.replace(F.replace(v, F.lit("\\="), F.lit("=")), F.lit("\\\\"), F.lit("\\")))
         extension = F.transform(F.filter(ends, lambda g: g.isNotNull()), lambda g: pair(g[0], plain(g[1])))
         every = F.concat(_header(parts, CEF_PARTS, "CEF:"), F.coalesce(extension, F.array().cast("array<struct<k:string,v:string>>")))

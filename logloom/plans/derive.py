@@ -24,8 +24,6 @@ from logloom.storage import materialize
 MARGIN, PENALTY, FLOOR = 0.12, 0.55, 0.70
 OCSF_VERSION = "1.8.0"
 TIME_FROM, TIME_TO = 946_684_800_000, 4_102_444_800_000
-#: Longest line that any pattern sees.
-LINE_CAP = 65_535
 CHANNELS = ("file", "syslog_udp", "syslog_tcp", "syslog_tls", "http", "replay")
 
 #: Flat columns of the lake and the paths they come from, in order.
@@ -251,8 +249,8 @@ def extracted(lines: DataFrame, grammars: list[Grammar]) -> DataFrame:
 
 
 def lined(records: DataFrame) -> DataFrame:
-    """What a derivation needs of stored records; lines beyond the cap are read as far as it."""
-    line = F.substring(text.decoded(F.coalesce("payload", F.lit(b""))), 1, LINE_CAP)
+    """What a derivation needs of stored records; lines are read whole, a limit of size is the gate's (lines.admitted)."""
+    line = text.decoded(F.coalesce("payload", F.lit(b"")))
     return records.select(
         "id", "env", "stratum", column(F.coalesce("env.received_ns", F.lit(0))).alias("received_ns"), column(line).alias("line")
     )

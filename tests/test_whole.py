@@ -1,12 +1,15 @@
 """Queries do the whole job: no prefix, no sample, no chosen listeners, no cut lines."""
 
+import json
 import re
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from logloom.operators import induce
+from logloom.operators import archive, induce
+from logloom.plans import derive
+from logloom.plans.grammar import Library
 from logloom.sources.tables import table
 
 
@@ -94,3 +97,30 @@ def test_every_record_has_a_family(spark, small, tmp_path):
     got = [(r.seq, r.family) for r in entry.queries()["shape_of_vendor_lines"](spark, str(tmp_path)).collect()]
     assert dict(got) == want and len(got) == len(want)
     assert set(want.values()) == {"unknown", "json", "cef", "leef", "kv", "csv", "delimited", "freeform"}
+
+
+def test_lines_are_read_whole(spark, small):
+    """What stands behind 65,535 characters is read as what stands behind a few."""
+    kinds = derive.derive(table(spark, small, "records"), Library(), processed_ms=0).where("verdict = 'mapped'")
+    ids = {r.grammar: r.id for r in kinds.groupBy("grammar").agg(F.unhex(F.min("record_id")).alias("id")).collect()}
+    known = {bytes(r.id): bytes(r.payload) for r in table(spark, small, "records").select("id", "payload").collect()}
+    payloads = {}
+    for words in (3, 30_000):
+        pad = ";".join(f"w{i % 100}" for i in range(words)).encode()
+        for grammar, key in ids.items():
+            line = known[bytes(key)]
+            at = line.index(b"{") + 1 if line.rstrip().endswith(b"}") else None
+            payloads[line + b" " + pad + b" ,tail=\"q\",x" if at is None else line[:at] + b'"pad": "' + pad + b'", ' + line[at:]] = (grammar, words)
+        payloads[b'devname=fw pad="' + pad + b'" type="traffic" srcip=10.0.0.1 srcport=5 action=accept tail=q'] = ("kv", words)
+    rows = spark.createDataFrame([(bytearray(p), (1, "p", "l", 1_780_000_000_000_000_000, False), 1) for p in payloads],
+                                 "payload binary, env struct<channel:tinyint,peer:string,listener:string,received_ns:bigint,truncated:boolean>, stratum int")
+    rows = archive.identified(rows)
+    name = {bytes(r.id).hex(): payloads[bytes(r.payload)] for r in rows.collect()}
+    got = {}
+    for r in derive.derive(rows, Library(), processed_ms=0).collect():
+        rest = sorted(json.loads(r.unmapped)) if r.unmapped else None
+        got[name[r.record_id]] = (r.verdict, r.detail, r.grammar, r.time_ms, r.src_ip, r.src_port, r.disposition_id, rest, sorted(r.fields or {}))
+    whole = {g for g, words in got if words == 3}
+    assert {g: got[g, 30_000] for g in whole} == {g: got[g, 3] for g in whole}
+    assert got["kv", 30_000][:3] == ("mapped", None, "fortigate.traffic")
+    assert "tail" in got["kv", 30_000][-2] and got["zeek.conn", 30_000][0] == "mapped"
