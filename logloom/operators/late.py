@@ -175,7 +175,7 @@ def hours(revisions: DataFrame) -> DataFrame:
     """One row for each hour: its first count, its count as corrected, the rounds that corrected it, and what was kept out."""
     revised = F.col("kind").isin("publish", "correction")
     return revisions.groupBy("hour_ns").agg(
-        F.coalesce(F.sum(F.when(F.col("kind") == "publish", F.col("after"))), F.lit(0)).alias("published"),
+        F.coalesce(F.sum(F.when(F.col("kind") == "publish", F.col("after") - F.col("before"))), F.lit(0)).alias("published"),
         F.coalesce(F.sum(F.when(revised, F.col("after") - F.col("before"))), F.lit(0)).alias("corrected"),
         F.count_distinct(F.when(F.col("kind") == "correction", F.col("round"))).alias("corrections"),
         F.coalesce(F.sum(F.when(F.col("kind") == "too_late", F.col("after"))), F.lit(0)).alias("too_late"),

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
-from logloom.operators import archive, induce
+from logloom.operators import archive, induce, late
 from logloom.plans import derive
 from logloom.plans.grammar import Library
 from logloom.sources.tables import table
@@ -124,3 +124,21 @@ def test_lines_are_read_whole(spark, small):
     assert {g: got[g, 30_000] for g in whole} == {g: got[g, 3] for g in whole}
     assert got["kv", 30_000][:3] == ("mapped", None, "fortigate.traffic")
     assert "tail" in got["kv", 30_000][-2] and got["zeek.conn", 30_000][0] == "mapped"
+
+
+def test_hours_do_not_depend_on_arrow_batches(spark):
+    """Three minutes of one shard come in time, and two events late: the group of each round crosses a batch's edge."""
+    hour, minute = 400_000 * late.HOUR, late.MINUTE
+    early = [(m * 1000 + k, hour + m * minute, hour + m * minute) for m in (0, 16, 32) for k in range(m + 1)]
+    behind = [(90_000 + k, hour + k * minute, hour + 2 * late.HOUR) for k in range(40)]
+    rows = spark.createDataFrame(early + behind, "k bigint, event_ns bigint, arrival_ns bigint").select(F.col("k").cast("string").cast("binary").alias("id"), "event_ns", "arrival_ns")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    got = []
+    try:
+        for size in ("10000", "1"):
+            spark.conf.set(name, size)
+            got.append([tuple(r) for r in late.hours(late.replay(rows)).collect()])
+    finally:
+        spark.conf.set(name, before)
+    assert got[0] == got[1] == [(hour, len(early), len(early) + 40, 1, 0)]
