@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
-from decimal import Decimal
 from functools import lru_cache
 
 import numpy as np
@@ -48,7 +47,7 @@ _PATTERNS = {
     "bsd": r"^(?P<mo>[A-Za-z]{3})[ ]+(?P<d>\d{1,2})(?:[ ]+(?P<y>\d{4}))?[ ]+" + _TAIL,
 }
 _NUMBER = r"^(?P<whole>\d{1,19})(?:[.,](?P<f>\d+))?$"
-_EXPONENT = re.compile(r"(\d+)(?:[.,](\d+))?[eE]([+-]?\d{1,3})")
+_EXPONENT = re.compile(r"(\d+)(?:[.,](\d+))?[eE]([+-]?\d+)")
 _BITS = {"iso": 0b000011, "slashed": 0b000100, "bsd": 0b001000, "number": 0b110000}
 
 
@@ -218,6 +217,20 @@ def _calendar(kind: str, texts: pa.Array, received: np.ndarray, known: np.ndarra
     return rows[good], chosen[good], other[good]
 
 
+def _shifted(whole: str, fraction: str, exponent: str) -> int | None:
+    """Microseconds of a number with an exponent, cut; None beyond the last instant. Digits are moved, however many."""
+    power = exponent.lstrip("+-").lstrip("0") or "0"
+    if len(power) > 18:  # more than a text has digits: nothing, or beyond
+        return None
+    shift = (-int(power) if exponent[0] == "-" else int(power)) + {13: -3, 16: -6, 19: -9}.get(len(whole), 0) + 6
+    digits = (whole + fraction).lstrip("0")
+    point = len(digits) - len(fraction) + shift
+    if point > 16:
+        return None
+    value = int(digits[:point].ljust(point, "0")) if digits and point > 0 else 0
+    return value if value < TO_S * 1_000_000 else None
+
+
 def _numbers(texts: pa.Array):
     found = pc.extract_regex(texts, _NUMBER)
     rows = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
@@ -232,12 +245,9 @@ def _numbers(texts: pa.Array):
     us = seconds * 1_000_000 + (_micros(digits) if len(rows) else 0)
     more, values = [], []
     for i in np.flatnonzero(pc.match_substring_regex(texts, "^[0-9.,]+[eE]").fill_null(False).to_numpy(zero_copy_only=False)):
-        if (m := _EXPONENT.fullmatch(texts[i].as_py())) and abs(int(m[3])) < 40 and len(m[1]) + len(m[2] or "") < 60:
-            scale = {13: -3, 16: -6, 19: -9}.get(len(m[1]), 0)
-            value = int(Decimal(f"{m[1]}.{m[2] or 0}").scaleb(int(m[3]) + scale + 6))
-            if value < TO_S * 1_000_000:
-                more.append(i)
-                values.append(value)
+        if (m := _EXPONENT.fullmatch(texts[i].as_py())) and (value := _shifted(m[1], m[2] or "", m[3])) is not None:
+            more.append(i)
+            values.append(value)
     rows, us = np.concatenate([rows, np.array(more, np.int64)]), np.concatenate([us, np.array(values, np.int64)])
     return rows, us, us
 

@@ -5,9 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import __spark_entry__ as entry
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from logloom.operators import archive, induce, late
+from logloom.operators import archive, clocks, induce, late
 from logloom.plans import derive
 from logloom.plans.grammar import Library
 from logloom.sources.tables import table
@@ -142,3 +144,15 @@ def test_hours_do_not_depend_on_arrow_batches(spark):
     finally:
         spark.conf.set(name, before)
     assert got[0] == got[1] == [(hour, len(early), len(early) + 40, 1, 0)]
+
+
+def test_numbers_with_exponents_are_exact_at_any_length():
+    us = 1_776_823_773_016_999
+    texts = {
+        "1.7768237730169999999999999999999999E9": us, "1.776823773016999" + "9" * 200 + "e+9": us, "0." + "0" * 60 + "1776823773016999E70": us,
+        "1776823773016999" + "0" * 90 + "E-96": us, "17768237730169999e-7": us, "1776823773016.9999E0": us, "1776823773,0169999e000000": us,
+        "1.776823773E" + "0" * 5000 + "9": 1_776_823_773_000_000, "1E" + "9" * 5000: None, "1e-" + "9" * 5000: None, "0e99": None, "1E10": None, "1e3": None,
+    }
+    n = len(texts)
+    got = clocks.interpret(pa.array(list(texts), pa.string()), pa.array([us * 1000] * n, pa.int64()), pa.array(["UTC"] * n, pa.string()), np.array([0b111111] * n, np.int32))
+    assert {t: int(u) if m else None for t, m, u in zip(texts, got["mask"], got["us"])} == texts
