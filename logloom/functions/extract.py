@@ -12,7 +12,7 @@ import re
 from logloom.functions import sql as F
 from logloom.functions.sql import E
 
-from logloom.functions.text import FLAGS, MARK, captured, let, numbered, stripped
+from logloom.functions.text import FLAGS, MARK, captured, let, numbered, stripped, unmarked
 
 FIELDS = "map<string,string>"
 BODY = "__body__"
@@ -104,6 +104,7 @@ def syslog(s: E, form: str) -> E:
 def split_quoted(text: E, sep: str, quote: str = '"') -> E:
     """Split at sep outside quotes; quotes toggle and are dropped."""
     plain = F.split(text, re.escape(sep), -1)
+    text = unmarked(text)
     if not quote:
         return plain
     outside = (lambda p: F.replace(p, F.lit(sep), F.lit(MARK))) if len(sep) == 1 else (lambda p: p)

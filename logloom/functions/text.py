@@ -29,6 +29,12 @@ def stripped(text: E) -> E:
     return F.trim(text, F.lit(SPACE))
 
 
+def unmarked(text: E) -> E:
+    """The text with the mark between groups, should it hold one, made a replacement character: lines are written by
+    others, and a mark of theirs is not to be read as one of ours."""
+    return F.when(text.contains(MARK), F.replace(text, F.lit(MARK), F.lit("\ufffd"))).otherwise(text)
+
+
 def count_of(text: E, char: str) -> E:
     """How often an ASCII character occurs."""
     return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(char), F.lit("")))
@@ -80,5 +86,5 @@ def captured(text: E, pattern: str, groups: list[int], anchored: bool = False, r
     before = "^" if anchored else "(?s:^.*?)"
     total = re.compile(pattern).groups
     wanted = "".join(f"{MARK}${g}" for g in groups) + (f"{MARK}${total + 1}" if rest else "")
-    replaced = F.regexp_replace(text, f"{FLAGS}{before}(?:{pattern})(?s:(.*))\\z", f"{wanted}{MARK}")
+    replaced = F.regexp_replace(unmarked(text), f"{FLAGS}{before}(?:{pattern})(?s:(.*))\\z", f"{wanted}{MARK}")
     return let(F.split(replaced, MARK, -1), lambda p: F.when(F.size(p) > 1, F.slice(p, 2, len(groups) + rest)))

@@ -397,14 +397,14 @@ def stream_windows(spark, d):
 def stream_hours(spark, d):
     times = table(spark, d, "extractions").groupBy(F.unhex("record_id").alias("id")).agg(F.max("event_ns").alias("event_ns")).where("event_ns IS NOT NULL")
     came = table(spark, d, "records").groupBy("id").agg(F.min("env.received_ns").alias("arrival_ns"))
-    got = _streamed(spark, times.join(came, "id").select("event_ns", "arrival_ns"), pipelines.hourly, "append")
+    got = _streamed(spark, times.join(came, "id").select("event_ns", "arrival_ns"), lambda s: pipelines.hourly(s, expire=False), "append")
     return got.groupBy("hour_ns").agg(F.sum(F.col("after") - F.col("before")).alias("events"), F.sum("too_late").alias("too_late"))
 
 
 @query()
 def stream_token_bucket(spark, d):
     rows = table(spark, d, "records").select("seq", F.coalesce("env.peer", F.lit("")).alias("peer"), F.col("env.received_ns").alias("received_ns"))
-    return _streamed(spark, rows.where("received_ns IS NOT NULL"), lambda s: pipelines.rate_limited(s, 0.0005, 20), "append")
+    return _streamed(spark, rows.where("received_ns IS NOT NULL"), lambda s: pipelines.rate_limited(s, 0.0005, 20, expire=False), "append")
 
 
 # --- ratios ---------------------------------------------------------------------------------------

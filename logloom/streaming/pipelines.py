@@ -49,53 +49,72 @@ def serve(lines: DataFrame, library: Library, sinks: dict[str, Sink], checkpoint
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def rate_limited(deliveries: DataFrame, rate: float, burst: float) -> DataFrame:
-    """seq, peer, admitted on a stream of (seq, peer, received_ns): a token bucket for each peer as its state."""
+def _timeout(expire: bool) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+
+
+def rate_limited(deliveries: DataFrame, rate: float, burst: float, expire: bool = True) -> DataFrame:
+    """seq, peer, admitted on a stream of (seq, peer, received_ns): a token bucket for each peer as its state.
+
+    A peer's deliveries of one micro-batch are ordered by receipt, so two numbers a row are held while it lasts. A peer
+    that is silent for as long as its bucket takes to fill has a full one again: its state goes. A run with the
+    availableNow trigger does not end while states wait for their time, so it passes expire=False."""
+    refill_ms = max(1, min(int(burst / rate * 1000), 2**53)) if expire and rate > 0 else None
+
     def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         bucket = Bucket(rate, burst)
         if state.exists:
             bucket.tokens, bucket.at = state.get
-        rows = pd.concat(list(parts)).sort_values(["received_ns", "seq"])
-        admitted = [bucket.take(int(t)) for t in rows.received_ns]
+        held = [(p.received_ns.to_numpy(), p.seq.to_numpy()) for p in parts]
+        received, seq = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((seq, received))
+        admitted = [bucket.take(t) for t in received[order].tolist()]
         state.update((bucket.tokens, bucket.at))
-        yield pd.DataFrame({"seq": rows.seq, "peer": key[0], "admitted": admitted})
+        if refill_ms:
+            state.setTimeoutDuration(refill_ms)
+        yield pd.DataFrame({"seq": seq[order], "peer": key[0], "admitted": admitted})
 
     return deliveries.groupBy("peer").applyInPandasWithState(
-        take, "seq bigint, peer string, admitted boolean", "tokens double, at bigint", "append", GroupStateTimeout.NoTimeout
+        take, "seq bigint, peer string, admitted boolean", "tokens double, at bigint", "append", _timeout(bool(refill_ms))
     )
 
 
-def hourly(events: DataFrame, rule: Lateness = Lateness()) -> DataFrame:
+def hourly(events: DataFrame, rule: Lateness = Lateness(), shards: int = 16, expire: bool = True) -> DataFrame:
     """hour_ns, shard, before, after, too_late on a stream of (event_ns, arrival_ns): each batch's late events
     restore the checkpoint before them, replay the suffix of minutes and replace the hour's count.
 
-    The state of an hour and shard is its timeline by minute with its snapshots, a few hundred bytes.
-    Rows of the shards of an hour add up."""
+    The state of an hour and shard is its timeline by minute with its snapshots, a few hundred bytes; it goes when the
+    hour has been still for as long as its cut-off. Rows tell changes, so those of an hour add up over shards, and over
+    a state that has gone and begun again. A run with the availableNow trigger passes expire=False, as above."""
     placed = events.select(
         "event_ns", "arrival_ns", (F.col("event_ns") - F.pmod(F.col("event_ns"), F.lit(HOUR))).alias("hour_ns"),
-        F.pmod(F.xxhash64("event_ns", "arrival_ns"), F.lit(rule.shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64("event_ns", "arrival_ns"), F.lit(shards)).cast("int").alias("shard"),
     )
 
     def take(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        line = Timeline(rule)
-        if state.exists:
-            minutes, snapshots = state.get
-            line.minutes, line.snapshots = np.array(minutes, np.int64), np.array(snapshots, np.int64)
-        rows = pd.concat(list(parts))
+        if state.hasTimedOut:
+            state.remove()
+            return
         hour = int(key[0])
-        late = rows.arrival_ns >= hour + HOUR + rule.cutoff_ns
-        good = rows[~late]
-        before = int(line.minutes.sum())
-        after = before
-        if len(good):
-            minutes = ((good.event_ns - hour) // MINUTE).to_numpy()
-            after = line.take(minutes, np.ones(len(minutes), np.int64))
+        line = Timeline(rule, hour, *(state.get if state.exists else ()))
+        before, out = line.total, 0
+        for rows in parts:
+            good = line.restorable(rows.arrival_ns.to_numpy())
+            out += int((~good).sum())
+            if good.any():
+                minutes, counts = np.unique((rows.event_ns.to_numpy()[good] - hour) // MINUTE, return_counts=True)
+                line.take(minutes, counts)
         state.update((line.minutes.tolist(), line.snapshots.tolist()))
-        yield pd.DataFrame({"hour_ns": [hour], "shard": [key[1]], "before": [before], "after": [after], "too_late": [int(late.sum())]})
+        if expire:
+            state.setTimeoutDuration(max(1, rule.cutoff_ns // 1_000_000))
+        yield pd.DataFrame({"hour_ns": [hour], "shard": [key[1]], "before": [before], "after": [line.total], "too_late": [out]})
 
     return placed.groupBy("hour_ns", "shard").applyInPandasWithState(
         take, "hour_ns bigint, shard int, before bigint, after bigint, too_late bigint", "minutes array<bigint>, snapshots array<bigint>",
-        "append", GroupStateTimeout.NoTimeout,
+        "append", _timeout(expire),
     )
 
 

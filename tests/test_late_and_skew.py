@@ -1,5 +1,7 @@
+import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from logloom.operators import late, skew
@@ -52,13 +54,50 @@ def test_generations_nulls_and_repeats(spark):
 
 
 def test_timeline_replays_only_what_follows_the_checkpoint():
-    import numpy as np
-
-    line = late.Timeline(late.Lateness())
+    line = late.Timeline(late.Lateness(), 0)
     assert line.take(np.array([0, 5, 59]), np.array([1, 1, 2])) == 4
     before = line.replayed
     assert line.take(np.array([55]), np.array([1])) == 5 and line.replayed - before == 10
     assert line.snapshots.tolist() == [0, 2, 2, 2, 2, 2]
+    again = late.Timeline(late.Lateness(), 0, line.minutes.tolist(), line.snapshots.tolist())
+    assert again.total == 5 and again.take(np.array([9]), np.array([1])) == 6
+    assert again.restorable(np.array([again.final_ns - 1, again.final_ns])).tolist() == [True, False]
+
+
+def _counts(revisions):
+    return {r.hour_ns: (r.published, r.corrected, r.too_late) for r in late.hours(revisions).collect()}
+
+
+def test_runs_that_restore_the_states_of_the_run_before_equal_one_run(spark):
+    rng = random.Random(5)
+    base = 400_000 * H
+    events = [(k, base + rng.randrange(3 * H), rng.choice([M, 70 * M, 2 * H, 5 * H, 9 * H])) for k in range(900)]
+    df = spark.createDataFrame([(bytearray(k.to_bytes(4, "big")), e, e + d, k % 3) for k, e, d in events], "id binary, event_ns bigint, arrival_ns bigint, run int")
+    whole = late.replay(df)
+    fates = {(r.record_id, r.fate) for r in late.fates(whole).collect()}
+    states, got, told = None, Counter(), set()
+    for n in range(3):
+        revisions = late.replay(df.where(F.col("run") == n), states=states).cache()
+        states = late.states_of(revisions).cache()
+        for h, v in _counts(revisions).items():
+            got.update({(h, i): x for i, x in enumerate(v)})
+        told |= {(r.record_id, r.fate) for r in late.fates(revisions).collect()}
+    assert told == fates and {k: v for k, v in got.items()} == {(h, i): x for h, v in _counts(whole).items() for i, x in enumerate(v)}
+    # without the states that were written, nothing remembers what was published
+    last = {h: sum(r.after for r in late.states_of(late.replay(df)).withColumn("after", F.aggregate("minutes", F.lit(0).cast("bigint"), lambda a, x: a + x)).collect() if r.hour_ns == h) for h in _counts(whole)}
+    assert {h: sum(r.n for r in states.withColumn("n", F.aggregate("minutes", F.lit(0).cast("bigint"), lambda a, x: a + x)).collect() if r.hour_ns == h) for h in last} == last
+
+
+def test_results_do_not_depend_on_arrow_batches_or_shards(spark):
+    base = 400_000 * H
+    events = [(k, base + k * 7 * M % (2 * H), base + k * 7 * M % (2 * H) + d) for k, d in enumerate([M, 70 * M, 3 * H, 8 * H, 0, 65 * M] * 30)]
+    _, ex, rec = tables(spark, events)
+    want = _counts(late.judged(ex, rec))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        assert _counts(late.judged(ex, rec, late.Lateness(shard_rows=5))) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_eager_join_equals_the_join(spark):
@@ -69,6 +108,24 @@ def test_eager_join_equals_the_join(spark):
     assert {r.g: (int(r.joined_rows), int(r.sx), int(r.sy)) for r in got.collect()} == {r.g: (r.n, r.sx, r.sy) for r in real.collect()}
 
 
+def test_fractions_and_rows_without_partner(spark):
+    left = spark.createDataFrame([("a", 1.5), ("a", 2.25), ("b", 1.0), (None, 4.0)], "k string, x double")
+    right = spark.createDataFrame([("a", 1), ("a", 2), ("c", 5)], "k string, y int").withColumn("z", F.expr("cast(y + 0.25 as decimal(9,2))"))
+    for how in ("inner", "left", "right", "full"):
+        got = skew.eager_join(left, right, {"k": (F.col("k"), F.col("k"))}, None, [skew.Measure("sx", F.col("x"))],
+                              [skew.Measure("sy", F.col("y")), skew.Measure("sz", F.col("z"))], how)
+        real = left.join(right, "k", how).groupBy("k").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum("z").alias("sz"))
+        plain = lambda x: None if x is None else float(x)
+        rows = lambda df, n: sorted((str(r.k), int(r[n]), plain(r.sx), plain(r.sy), plain(r.sz)) for r in df.collect())
+        assert rows(got, "joined_rows") == rows(real, "n")
+
+
+def test_shares_are_exact(spark):
+    # 7 of 140 are one in twenty, which the product of doubles misses
+    a = spark.createDataFrame([("x",)] * 7 + [(f"y{i}",) for i in range(133)], "k string")
+    assert [(r.hot_key, r.key_rows, r.all_rows) for r in skew.hot_keys({"f": (a, F.col("k"))}).collect()] == [("x", 7, 140)]
+
+
 def test_hot_keys(spark):
     a = spark.createDataFrame([(k,) for k in ["x"] * 50 + [""] * 5 + [None] * 41 + list("abcd")], "k string")
     got = {(r.field, r.hot_key) for r in skew.hot_keys({"f": (a, F.col("k")), "g": (a.limit(0), F.col("k"))}).collect()}
