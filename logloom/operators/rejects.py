@@ -2,9 +2,9 @@
 
 A block of records is parsed as a whole on a columnar path (Arrow's CSV reader, one JSON document, one
 token scan) and its columns are checked with Arrow kernels. A block that does not parse as a whole is
-bisected until the bad record stands alone; that record, and every record whose columns fail a check, is
-then diagnosed strictly. The fast path only ever accepts: what it accepts the strict reader accepts too,
-so the verdict does not depend on how records fall into blocks.
+bisected, and its halves parsed anew, until the bad record stands alone; that record, and every record
+whose columns fail a check, is then diagnosed strictly. The fast path only ever accepts: what it accepts
+the strict reader accepts too, so the verdict does not depend on how records fall into blocks.
 
 Null payloads are read as empty ones. A listener without layout is not judged.
 """
@@ -26,11 +26,12 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024
+#: Records and bytes of a block; a longer record is a block of its own.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 EPOCH_FROM, EPOCH_TO = 946684800, 4102444800
 FAMILIES = ("csv", "kv", "json", "delimited")
-#: The layout table is configuration; more rows than this are refused rather than shipped to every task.
-LAYOUT_LIMIT = 100_000
+#: Listeners whose layouts one pass over the records knows; of more of them there are more passes.
+LAYOUTS = 100_000
 
 
 @dataclass(frozen=True)
@@ -49,24 +50,24 @@ class Layout:
     fields: tuple[Field, ...]
 
 
-def layouts_by_listener(grammars: DataFrame) -> dict[str, Layout]:
-    """Listener -> layout. Of several layouts on one listener the first grammar by name holds."""
-    rows = (
+def layouts_by_listener(grammars: DataFrame, most: int = LAYOUTS) -> list[dict[str, Layout]]:
+    """Listener -> layout, in parts of about `most` listeners. Of several layouts on one listener the first grammar by
+    name holds; grammars without name come first. Layouts are configuration: a part is what a task is given."""
+    chosen = (
         grammars.where(F.col("layout").isNotNull() & F.col("family").isin(*FAMILIES))
-        .select("grammar", "family", "header_pattern", "layout", "listeners")
-        .limit(LAYOUT_LIMIT + 1)
-        .collect()
+        .select(F.explode("listeners").alias("listener"), F.struct("grammar", "family", "header_pattern", "layout").alias("g"))
+        .where("listener IS NOT NULL")
+        .groupBy("listener").agg(F.min_by("g", F.struct(F.coalesce("g.grammar", F.lit("")), "g.family", "g.header_pattern", F.to_json("g.layout"))).alias("g"))
     )
-    if len(rows) > LAYOUT_LIMIT:
-        raise ValueError(f"more than {LAYOUT_LIMIT} layouts")
-    found: dict[str, Layout] = {}
-    for row in sorted(rows, key=lambda r: r.grammar or ""):
-        fields = tuple(
-            Field(f.field, f.kind, bool(f.required), tuple((c or "").lower() for c in f.choices or ())) for f in row.layout
-        )
-        layout = Layout(row.grammar or "", row.family, row.header_pattern or "", fields)
-        for listener in row.listeners or ():
-            found.setdefault(listener, layout)
+    parts = -(-chosen.count() // most)
+    found: list[dict[str, Layout]] = []
+    for k in range(parts):
+        # one row a layout, with its listeners, so that a layout of many is sent once
+        part = chosen.where(F.pmod(F.xxhash64("listener"), F.lit(parts)) == k).groupBy("g").agg(F.collect_list("listener").alias("listeners"))
+        found.append({})
+        for g, listeners in part.collect():
+            fields = tuple(Field(f.field, f.kind, bool(f.required), tuple((c or "").lower() for c in f.choices or ())) for f in g.layout)
+            found[-1] |= dict.fromkeys(listeners, Layout(g.grammar or "", g.family, g.header_pattern or "", fields))
     return found
 
 
@@ -119,11 +120,11 @@ def _no_constant(text: str) -> str:
     raise ValueError(text)
 
 
-def _number(text: str) -> str:
-    return text
+class _Raw(str):
+    """Text that is JSON already; numbers are kept as they are written."""
 
 
-_JSON = json.JSONDecoder(parse_float=_number, parse_int=_number, parse_constant=_no_constant)
+_JSON = json.JSONDecoder(parse_float=_Raw, parse_int=_Raw, parse_constant=_no_constant)
 _MISSING = object()
 
 
@@ -143,13 +144,83 @@ def _as_text(value) -> str | None:
         return value
     if isinstance(value, bool):
         return "true" if value else "false"
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    return _nested_text(value)
+
+
+def _nested_text(value) -> str:
+    """JSON of an object or array, however deep."""
+    out, pending = [], [value]
+    while pending:
+        at = pending.pop()
+        if isinstance(at, _Raw):
+            out.append(at)
+        elif isinstance(at, (dict, list)):
+            pairs = at.items() if isinstance(at, dict) else ((None, v) for v in at)
+            parts: list = []
+            for k, v in pairs:
+                parts += [_Raw("," if parts else ""), *([_Raw(json.dumps(k, ensure_ascii=False) + ":")] if k is not None else []), v]
+            pending += [_Raw("}" if isinstance(at, dict) else "]"), *reversed(parts), _Raw("{" if isinstance(at, dict) else "[")]
+        else:
+            out.append(json.dumps(at, ensure_ascii=False))
+    return "".join(out)
+
+
+_JSON_TOKEN = re.compile(
+    r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*")|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))'
+)
+_WORDS = {"true": True, "false": False, "null": None}
+
+
+def _deep_json(body: str):
+    """A document nested beyond the interpreter's stack, read with a stack of its own. ValueError if it is none."""
+    open_: list[tuple[dict | list, str | None]] = []  # containers and the key that waits in each
+    at, end, ready, got = 0, len(body.rstrip(" \t\n\r")), "value", _MISSING
+    while at < end:
+        m = _JSON_TOKEN.match(body, at)
+        if not m or (not open_ and got is not _MISSING):
+            raise ValueError(body[at:at + 20])
+        at, sign, value = m.end(), m[1], _MISSING
+        if sign is None:
+            value = json.loads(m[2]) if m[2] else _Raw(m[3]) if m[3] else _WORDS[m[4]]
+        elif sign in "{[" and ready in ("value", "first"):
+            open_.append(({} if sign == "{" else [], None))
+            ready = "key or end" if sign == "{" else "first"
+            continue
+        elif sign in "}]" and open_ and isinstance(open_[-1][0], dict if sign == "}" else list) and ready in ("end", "key or end" if sign == "}" else "first"):
+            value, ready = open_.pop()[0], "value"
+        elif sign == "," and open_ and ready == "end":
+            ready = "key" if isinstance(open_[-1][0], dict) else "value"
+            continue
+        elif sign == ":" and ready == "colon":
+            ready = "value"
+            continue
+        else:
+            raise ValueError(sign)
+        if sign is None and ready in ("key", "key or end") and m[2]:
+            open_[-1] = (open_[-1][0], value)
+            ready = "colon"
+            continue
+        if ready not in ("value", "first"):
+            raise ValueError(ready)
+        if not open_:
+            got = value
+        elif isinstance(open_[-1][0], dict):
+            open_[-1][0][open_[-1][1]] = value
+        else:
+            open_[-1][0].append(value)
+        ready = "end"
+    if got is _MISSING:
+        raise ValueError("open")
+    return got
 
 
 def strict_json(body: str) -> dict:
     try:
-        doc = _JSON.decode(body)
-    except (ValueError, RecursionError):
+        try:
+            doc = _JSON.decode(body)
+        except RecursionError:
+            doc = _deep_json(body)
+    except ValueError:
         raise Broken("quoting") from None
     if not isinstance(doc, dict):
         raise Broken("quoting")
@@ -213,117 +284,118 @@ def strict(layout: Layout, body: str) -> tuple[str | None, list[str | None] | No
 
 
 # --- a block at once ------------------------------------------------------------------------------
+# A parser takes a block whole: it returns the layout's columns, or None if the block as a whole does not parse. None of
+# them tells which record is to blame. A body with a line break of its own never parses here: its rows would shift.
 
-_CSV_ROW = r'^(?:[^",\r\n]*|"(?:[^"]|"")*")(?:,(?:[^",\r\n]*|"(?:[^"]|"")*"))*$'
-_KV_ROW = r'^[^\s="]+=(?:"[^"]*"|[^\s"]*)(?:[ \t]+[^\s="]+=(?:"[^"]*"|[^\s"]*))*$'
-_KV_TOKENS = re.compile(r'([^\s="]+)=("[^"]*"|[^\s"]*)')
+_UNBLANK = r"[^\s=\"\v\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BARE = _UNBLANK.replace("=", "")
+_CSV_ROW = r'(?:[^",\n]*|"(?:[^"\n]|"")*")(?:,(?:[^",\n]*|"(?:[^"\n]|"")*"))*'
+_KV_ROW = rf'{_UNBLANK}+=(?:"[^"\n]*"|{_BARE}*)(?:[ \t]+{_UNBLANK}+=(?:"[^"\n]*"|{_BARE}*))*'
+_CSV_BLOCK, _KV_BLOCK = (rf"\A{row}(?:\n{row})*\z" for row in (_CSV_ROW, _KV_ROW))
+_KV_TOKENS = re.compile(r'([^ \t\n="]+)=(?:"([^"\n]*)"|([^ \t\n"]*))|(\n)')
 
 
 def _all(mask) -> bool:
     return bool(pc.all(mask, min_count=0).as_py())
 
 
-class CsvBlock:
-    """Quoting and field counts are told by Arrow kernels for the whole block, then its reader splits the fields."""
-
-    def __init__(self, layout: Layout, bodies: list[str]):
-        self.bodies, self.names = bodies, [str(i) for i in range(len(layout.fields))]
-        column = pa.array(bodies, pa.string())
-        bare = pc.replace_substring_regex(column, '"(?:[^"]|"")*"', "")
-        fits = pc.equal(pc.count_substring(bare, ","), len(layout.fields) - 1)
-        self.sound = np.asarray(pc.and_(pc.match_substring_regex(column, _CSV_ROW), fits).to_pylist(), dtype=bool)
-
-    def accepts(self, start: int, end: int) -> bool:
-        return bool(self.sound[start:end].all()) and not self.bodies[start].startswith("\ufeff")
-
-    def read(self, rows: list[int]) -> list[pa.Array] | None:
-        text = "\n".join([self.bodies[i] for i in rows]).encode()
-        try:
-            found = pacsv.read_csv(
-                io.BytesIO(text),
-                pacsv.ReadOptions(use_threads=False, column_names=self.names, block_size=len(text) + 16),
-                pacsv.ParseOptions(newlines_in_values=True, ignore_empty_lines=False),
-                pacsv.ConvertOptions(column_types=dict.fromkeys(self.names, pa.string()), strings_can_be_null=False),
-            )
-        except pa.ArrowInvalid:
-            return None
-        return [c.combine_chunks() for c in found.columns] if found.num_rows == len(rows) else None
-
-
-class DelimitedBlock:
-    def __init__(self, layout: Layout, bodies: list[str]):
-        self.rows, self.width = [b.split() for b in bodies], len(layout.fields)
+def _joined(bodies: list[str]) -> str | None:
+    text = "\n".join(bodies)
+    return None if text.count("\n") != len(bodies) - 1 or "\r" in text or text.startswith("\ufeff") else text
 
-    def accepts(self, start: int, end: int) -> bool:
-        return all(len(r) == self.width for r in self.rows[start:end])
 
-    def read(self, rows: list[int]) -> list[pa.Array]:
-        return [pa.array(c, pa.string()) for c in zip(*(self.rows[i] for i in rows))]
+def _in_form(pattern: str, text: str) -> bool:
+    return pc.match_substring_regex(pa.array([text], pa.large_string()), pattern)[0].as_py()
 
 
-class KvBlock:
-    """Token grammar by an Arrow kernel; the tokens of well-formed rows as one list of pairs each."""
-
-    def __init__(self, layout: Layout, bodies: list[str]):
-        self.layout, self.required = layout, frozenset(f.name for f in layout.fields if f.required)
-        formed = pc.match_substring_regex(pa.array(bodies, pa.string()), _KV_ROW).to_pylist()
-        tokens = [_KV_TOKENS.findall(b) if ok else [("", "")] * 2 for b, ok in zip(bodies, formed)]
-        self.rows = [dict(t) for t in tokens]
-        self.sound = [len(t) == len(r) and self.required <= r.keys() for t, r in zip(tokens, self.rows)]
-
-    def accepts(self, start: int, end: int) -> bool:
-        return all(self.sound[start:end])
+def _parse_csv(layout: Layout, bodies: list[str]) -> list[pa.Array] | None:
+    """Arrow's reader splits the block, given that its quoting is in form from end to end."""
+    text = _joined(bodies)
+    if text is None or ('"' in text and not _in_form(_CSV_BLOCK, text)):
+        return None
+    raw, names = text.encode(), [str(i) for i in range(len(layout.fields))]
+    try:
+        found = pacsv.read_csv(
+            io.BytesIO(raw),
+            pacsv.ReadOptions(use_threads=False, column_names=names, block_size=len(raw) + 16),
+            pacsv.ParseOptions(newlines_in_values=False, ignore_empty_lines=False),
+            pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
+        )
+    except pa.ArrowInvalid:
+        return None
+    return [c.combine_chunks() for c in found.columns] if found.num_rows == len(bodies) else None
 
-    def read(self, rows: list[int]) -> list[pa.Array]:
-        found = [self.rows[i] for i in rows]
-        return [pc.utf8_trim(pa.array([r.get(f.name) for r in found], pa.string()), '"') for f in self.layout.fields]
 
+def _parse_delimited(layout: Layout, bodies: list[str]) -> list[pa.Array] | None:
+    """One split of the block; its parts are a table if every row has as many as there are fields."""
+    width = len(layout.fields)
+    rows = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pa.array(bodies, pa.string())))
+    if "" in bodies or not _all(pc.equal(pc.list_value_length(rows), width)):
+        return None
+    parts = rows.flatten()
+    return [parts.take(pa.array(np.arange(i, len(parts), width))) for i in range(width)]
 
-class JsonBlock:
-    """The bodies as one document. A mark after each body must come back at the top level, in its place:
-    then every body by itself is exactly one value."""
 
-    def __init__(self, layout: Layout, bodies: list[str]):
-        self.layout, self.bodies, self.head = layout, bodies, f"\x01{hash(bodies[0])}:"
-        self.required = [f.name for f in layout.fields if f.required]
-        self.docs: dict[int, dict] = {}
+def _parse_kv(layout: Layout, bodies: list[str]) -> list[pa.Array] | None:
+    """One scan of the block for tokens, which are laid out as columns by key and row."""
+    text = _joined(bodies)
+    if text is None or not _in_form(_KV_BLOCK, text):
+        return None
+    keys, quoted, bare, ends = zip(*_KV_TOKENS.findall(text))
+    coded = pa.array(keys, pa.string()).dictionary_encode()
+    codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    end = np.fromiter(map(bool, ends), bool, len(ends))
+    row = np.cumsum(end)[~end]
+    at, code, n = np.flatnonzero(~end), codes[~end], len(bodies)
+    places = row * len(names) + code
+    if len(np.unique(places)) != len(places):
+        return None  # a key twice
+    values = pa.array([q or b for q, b in zip(quoted, bare)], pa.string())
+    columns = []
+    for f in layout.fields:
+        mine = code == names.index(f.name) if f.name in names else np.zeros(len(code), bool)
+        if f.required and mine.sum() != n:
+            return None
+        source = np.full(n, -1, np.int64)
+        source[row[mine]] = at[mine]
+        columns.append(values.take(pa.array(source, mask=source < 0)))
+    return columns
 
-    def accepts(self, start: int, end: int) -> bool:
-        mark = json.dumps(self.head)[:-1]
-        try:
-            found = _JSON.decode("[" + ",".join([f'{self.bodies[i]},{mark}{i}"' for i in range(start, end)]) + "]")
-        except (ValueError, RecursionError):
-            return False
-        docs = found[::2]
-        if found[1::2] != [f"{self.head}{i}" for i in range(start, end)] or not all(isinstance(d, dict) for d in docs):
-            return False
-        if any(_lookup(d, name) is _MISSING for d in docs for name in self.required):
-            return False
-        self.docs.update(zip(range(start, end), docs))
-        return True
 
-    def read(self, rows: list[int]) -> list[pa.Array]:
-        columns = []
-        for f in self.layout.fields:
-            values = [_lookup(self.docs[i], f.name) for i in rows]
-            if not all(isinstance(v, str) for v in values):
-                values = [None if v is _MISSING else _as_text(v) for v in values]
-            columns.append(pa.array(values, pa.string()))
-        return columns
+def _parse_json(layout: Layout, bodies: list[str]) -> list[pa.Array] | None:
+    """The bodies as one document. A mark after each body must come back at the top level, in its place: then every
+    body by itself is exactly one value."""
+    head = f"\x01{hash(bodies[0])}:"
+    mark = json.dumps(head)[:-1]
+    try:
+        found = _JSON.decode("[" + ",".join([f'{b},{mark}{i}"' for i, b in enumerate(bodies)]) + "]")
+    except (ValueError, RecursionError):
+        return None
+    docs = found[::2]
+    if found[1::2] != [f"{head}{i}" for i in range(len(bodies))] or not all(isinstance(d, dict) for d in docs):
+        return None
+    columns = []
+    for f in layout.fields:
+        values = [_lookup(d, f.name) for d in docs]
+        if f.required and any(v is _MISSING for v in values):
+            return None
+        columns.append(pa.array([None if v is _MISSING else _as_text(v) for v in values], pa.string()))
+    return columns
 
 
-BLOCKS = {"csv": CsvBlock, "delimited": DelimitedBlock, "kv": KvBlock, "json": JsonBlock}
+PARSERS = {"csv": _parse_csv, "delimited": _parse_delimited, "kv": _parse_kv, "json": _parse_json}
 
 
 def bisect(layout: Layout, bodies: list[str]) -> tuple[list[int], list[pa.Array], list[int]]:
     """(positions that parse, their columns, positions that do not).
 
-    A part that fails as a whole is halved until the record that breaks it stands alone; the sound parts are
-    read into columns together."""
-    block, good, bad, pending = BLOCKS[layout.family](layout, bodies), [], [], [(0, len(bodies))]
+    The block goes to its parser whole. What fails is halved, and the halves are parsed anew, until the record that
+    breaks its block stands alone."""
+    parse, parts, good, bad, pending = PARSERS[layout.family], [], [], [], [(0, len(bodies))]
     while pending:
         start, end = pending.pop()
-        if block.accepts(start, end):
+        if (columns := parse(layout, bodies[start:end])) is not None:
+            parts.append(columns)
             good += range(start, end)
         elif end - start == 1:
             bad.append(start)
@@ -332,27 +404,8 @@ def bisect(layout: Layout, bodies: list[str]) -> tuple[list[int], list[pa.Array]
             pending += [(middle, end), (start, middle)]
     if not good:
         return good, [pa.array([], pa.string()) for _ in layout.fields], bad
-    columns = block.read(good)
-    if columns is None:
-        columns, good, refused = _read_apart(block, good)
-        bad = sorted(bad + refused)
-    return good, [pc.utf8_trim_whitespace(c) for c in columns], bad
-
-
-def _read_apart(block, rows: list[int]) -> tuple[list[pa.Array], list[int], list[int]]:
-    """The reader itself refuses what the kernels accepted: halve by its own verdict."""
-    parts, good, bad, pending = [], [], [], [rows]
-    while pending:
-        part = pending.pop()
-        columns = block.read(part)
-        if columns is not None:
-            parts.append(columns)
-            good += part
-        elif len(part) == 1:
-            bad += part
-        else:
-            pending += [part[len(part) // 2:], part[:len(part) // 2]]
-    return [pa.concat_arrays(c) for c in zip(*parts)], good, bad
+    whole = parts[0] if len(parts) == 1 else [pa.concat_arrays(c) for c in zip(*parts)]
+    return good, [pc.utf8_trim_whitespace(c) for c in whole], bad
 
 
 _FAST_STAMP = (
@@ -434,59 +487,73 @@ def _blocks(batch: pa.RecordBatch, layouts: dict[str, Layout]) -> Iterator[tuple
     payloads = batch.column("payload")
     for layout, rows in by_grammar.items():
         header = re.compile(layout.header)
-        for at in range(0, len(rows), BLOCK):
-            part = rows[at:at + BLOCK]
-            yield layout, part, [_body(payloads[i].as_py(), header) for i in part]
-
-
-def _judged(records: DataFrame, layouts: dict[str, Layout], keys: list[str]) -> DataFrame:
-    """The columns a task needs and only the rows of listeners that have a layout; the filter reaches the scan."""
-    listener = F.col("env.listener")
-    return records.where(listener.isin(sorted(layouts))).select(*keys, "payload", listener.alias("listener"))
+        part, bodies, size = [], [], 0
+        for i in rows:
+            body = _body(payloads[i].as_py(), header)
+            if part and (len(part) == BLOCK or size + len(body) > BLOCK_BYTES):
+                yield layout, part, bodies
+                part, bodies, size = [], [], 0
+            part.append(i)
+            bodies.append(body)
+            size += len(body)
+        yield layout, part, bodies
+
+
+def _per_part(records: DataFrame, grammars: DataFrame, keys: list[str], judge_part) -> DataFrame:
+    """judge_part(rows, layouts) over the rows of listeners that have a layout: the columns a task needs, and the filter
+    reaches the scan. Without layouts there are no rows."""
+    listener, out = F.col("env.listener"), None
+    for layouts in layouts_by_listener(grammars) or [{}]:
+        rows = records.where(listener.isin(sorted(layouts)) if layouts else F.lit(False)).select(*keys, "payload", listener.alias("listener"))
+        part = judge_part(rows, layouts)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def rejected(records: DataFrame, grammars: DataFrame, keys: tuple[str, ...] = ("seq",)) -> DataFrame:
     """keys + reason (quoting, columns or value): one row for each record that fails. No shuffle."""
-    layouts = layouts_by_listener(grammars)
-    chosen = _judged(records, layouts, list(keys))
-    types = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
+    def judge_part(chosen: DataFrame, layouts: dict[str, Layout]) -> DataFrame:
+        types = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, why = [], []
+                for layout, rows, bodies in _blocks(batch, layouts):
+                    for i, reason in faults(layout, bodies):
+                        at.append(rows[i])
+                        why.append(reason)
+                if at:
+                    kept = batch.select(list(keys)).take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(why, pa.string())], [*keys, "reason"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, why = [], []
-            for layout, rows, bodies in _blocks(batch, layouts):
-                for i, reason in faults(layout, bodies):
-                    at.append(rows[i])
-                    why.append(reason)
-            if at:
-                kept = batch.select(list(keys)).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(why, pa.string())], [*keys, "reason"])
+        return chosen.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", reason string")
 
-    return chosen.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", reason string")
+    return _per_part(records, grammars, list(keys), judge_part)
 
 
 def loaded(records: DataFrame, grammars: DataFrame) -> DataFrame:
     """seq, grammar, fields: the sound records with their present values by field name. No shuffle."""
-    layouts = layouts_by_listener(grammars)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seq, grammar, fields = [], [], []
-            seqs = batch.column("seq").to_pylist()
-            for layout, rows, bodies in _blocks(batch, layouts):
-                names = [f.name for f in layout.fields]
-                for i, reason, values in judge(layout, bodies):
-                    if reason is None:
-                        seq.append(seqs[rows[i]])
-                        grammar.append(layout.grammar)
-                        fields.append([(n, v) for n, v in dict(zip(names, values)).items() if not absent(v)])
-            if seq:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seq, pa.int64()), pa.array(grammar, pa.string()), pa.array(fields, pa.map_(pa.string(), pa.string()))],
-                    ["seq", "grammar", "fields"],
-                )
-
-    return _judged(records, layouts, ["seq"]).mapInArrow(run, "seq bigint, grammar string, fields map<string,string>")
+    def judge_part(chosen: DataFrame, layouts: dict[str, Layout]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                seq, grammar, fields = [], [], []
+                seqs = batch.column("seq").to_pylist()
+                for layout, rows, bodies in _blocks(batch, layouts):
+                    names = [f.name for f in layout.fields]
+                    for i, reason, values in judge(layout, bodies):
+                        if reason is None:
+                            seq.append(seqs[rows[i]])
+                            grammar.append(layout.grammar)
+                            fields.append([(n, v) for n, v in dict(zip(names, values)).items() if not absent(v)])
+                if seq:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(seq, pa.int64()), pa.array(grammar, pa.string()), pa.array(fields, pa.map_(pa.string(), pa.string()))],
+                        ["seq", "grammar", "fields"],
+                    )
+
+        return chosen.mapInArrow(run, "seq bigint, grammar string, fields map<string,string>")
+
+    return _per_part(records, grammars, ["seq"], judge_part)
 
 
 def recounted(records: DataFrame, metrics: DataFrame, grammars: DataFrame) -> DataFrame:

@@ -59,8 +59,57 @@ def test_nulls_repeats_and_other_columns(spark):
 
 def test_every_judged_record_is_loaded_or_rejected(spark, small):
     records, grammars = table(spark, small, "records"), table(spark, small, "grammars")
-    judged = [l for l in R.layouts_by_listener(grammars)]
+    judged = [l for part in R.layouts_by_listener(grammars) for l in part]
     total = records.where(records.env.listener.isin(judged)).count()
     assert R.rejected(records, grammars).count() + R.loaded(records, grammars).count() == total
     counted = R.recounted(records, table(spark, small, "metrics"), grammars)
     assert sum(r.rejected for r in counted.collect()) == R.rejected(records, grammars).count()
+
+
+def test_layouts_in_several_passes_and_empty_tables(spark, small, monkeypatch):
+    records, grammars = table(spark, small, "records"), table(spark, small, "grammars")
+    want = sorted(map(tuple, R.rejected(records, grammars).collect()))
+    monkeypatch.setattr(R.layouts_by_listener, "__defaults__", (7,))
+    assert len(R.layouts_by_listener(grammars)) > 1
+    assert sorted(map(tuple, R.rejected(records, grammars).collect())) == want
+    assert R.rejected(records, grammars.limit(0)).count() == R.loaded(records.limit(0), grammars).count() == 0
+
+
+def test_a_block_is_told_only_as_a_whole():
+    """The parsers return columns or nothing: which record is to blame comes from halving alone."""
+    for layout in (CSV, KV, JSON, WS):
+        good = [b for l, b, r in CASES if l is layout and R.PARSERS[layout.family](layout, [b]) is not None]
+        bad = [b for l, b, r in CASES if l is layout and r in ("quoting", "columns")]
+        parse = R.PARSERS[layout.family]
+        assert parse(layout, good * 5) is not None and parse(layout, good * 5 + bad[:1] + good) is None
+        at, columns, failed = R.bisect(layout, good * 3 + bad[:1] + good * 4)
+        assert failed == [len(good) * 3] and len(columns[0]) == len(at) == len(good) * 7
+
+
+def test_two_wrongs_do_not_shift_rows():
+    for bodies in (['1,"a', 'b",x', "1,b\n1,b,x"], ["1,b,x\n", "1,b,x"], ["\ufeff1,b,x", "1,b,x"], ["1,b,x\r", "1,,x"]):
+        assert dict(R.faults(CSV, bodies)) == {i: r for i, b in enumerate(bodies) if (r := R.strict(CSV, b)[0])}
+    for odd in "\x1c\x85\xa0\u2003\u3000\x0b":
+        bodies = [f"a=1{odd}b=2", f"a{odd}b=2 a=3", f'a=1 b="x{odd}y"', "a=1"]
+        assert dict(R.faults(KV, bodies)) == {i: r for i, b in enumerate(bodies) if (r := R.strict(KV, b)[0])}
+
+
+def test_json_nested_beyond_the_stack():
+    n = 60_000
+    deep = '{"a": "1.2.3.4", "x": ' + "[" * n + '{"k": [1, "\\u00e4", true]}' + "]" * n + "}"
+    assert R.strict(JSON, deep) == (None, ["1.2.3.4", None]) and R.strict(JSON, deep[:-1])[0] == "quoting" and R.strict(JSON, deep + "]")[0] == "quoting"
+    assert not R.faults(JSON, [deep, '{"a": "1.2.3.4"}'])
+    text = R.Layout("g", "json", "", (F("x", "text", True, ()),))
+    assert R.strict(text, deep)[1][0] == "[" * n + '{"k":[1,"ä",true]}' + "]" * n
+    rng = random.Random(3)
+    for _ in range(3000):
+        body = "".join(rng.choice(['{', '}', '[', ']', ',', ':', '"a"', '"b":', '1', '-0.5e3', 'true', 'null', ' ', '"', '01']) for _ in range(rng.randint(1, 9)))
+        try:
+            want = R._JSON.decode(body)
+        except ValueError:
+            want = None
+        try:
+            got = R._deep_json(body)
+        except ValueError:
+            got = None
+        assert got == want, body
