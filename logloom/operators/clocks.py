@@ -1,23 +1,30 @@
-"""Mixed timestamp formats and zones made one UTC instant.
-
-Each text is tried under every format its clock declares (all of them where none is declared). Every valid
-parse contributes likelihood: per clock, a mixture over formats and a distribution of delays (receipt minus
-instant) are fitted by expectation-maximisation over the counts of (valid formats, delay class), so the
-corpus is read once and the fit sees a small table. The posterior chooses the format; what stays open, such
-as a local time that occurs twice, is marked ambiguous with the other instant beside it.
-
-Rules that hold whatever the posterior: a printed offset or abbreviation wins over the clock's zone; a local
-time that its zone skipped is no time; of one that occurs twice the later instant holds unless it lies after
-receipt; a text without a year takes the latest year in which it, read as UTC, is at most a day after receipt;
-instants lie in 2000 to 2099 and are cut to whole microseconds. Null, blank and unreadable texts, and readings
-of an unknown clock without any printed zone, are kept as `no_time`. A null zone is UTC; a null receipt leaves
-a text without year no time.
+"""Mixed timestamp formats and zones made one UTC instant, by expectation-maximisation over format mixtures.
+
+Each text is tried under every format its clock declares (all of them where none is declared), and every valid
+interpretation is a candidate: the two orders of day and month, both instants of a local time that occurs twice,
+and, where the rules leave them open, the zone, the year and the unit of a number. For each clock a mixture over
+formats and a distribution of delays (receipt minus instant) are fitted by EM: a reading contributes the
+likelihood of each of its candidates, and its posterior chooses the candidate that becomes event_ns. Readings
+with the same candidates (formats, delay classes, priors) are alike to the fit, so the corpus is read once and EM
+sees a small table of counts.
+
+What a project's rules settle enters as a prior of 0 or 1 on candidates (`Rules`): a printed offset or
+abbreviation wins over the clock's zone; of a local time that occurs twice the later instant holds unless it lies
+after receipt; a text without a year takes the latest year in which it, read as UTC, is at most a day after receipt;
+the digits of a number tell its unit. A rule that is lifted leaves its candidates to the posterior. Always: a local
+time that its zone skipped is no time; instants lie in 2000 to 2099 and are cut to whole microseconds.
+
+A reading whose candidates the likelihood alone does not tell apart (below SURE) is marked `ambiguous`, with the next
+best instant beside it, whether or not a rule has chosen. Null, blank and unreadable texts, and readings of an unknown
+clock without any printed zone, are kept as `no_time`. A null zone is UTC; a null receipt leaves a text without year no
+time. Readings without clock_id share a mixture; of clocks with the same clock_id any one holds.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import lru_cache
 
@@ -30,11 +37,11 @@ from pyspark.sql import functions as F
 
 from logloom.storage import materialize
 
-FORMATS = ("iso8601", "dashed", "slashed", "bsd", "epoch", "epoch_ms")
+FORMATS = ("iso8601", "dashed", "slashed", "bsd", "epoch", "epoch_ms", "day_first", "month_first")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 DAY = 86_400
 FROM_S, TO_S = 946_684_800, 4_102_444_800
-#: Posterior below which the chosen instant is called ambiguous.
+#: Likelihood of the chosen instant, as a part of all, below which it is called ambiguous.
 SURE = 0.9
 #: Delay classes: 2 signs of 40 powers of two of milliseconds; class 0 where nothing is known.
 DELAYS = 82
@@ -45,10 +52,23 @@ _PATTERNS = {
     "iso": r"^(?P<y>\d{4})-(?P<mo>\d{2})-(?P<d>\d{2})(?:[Tt]|[ ]+)" + _TAIL,
     "slashed": r"^(?P<y>\d{4})/(?P<mo>\d{2})/(?P<d>\d{2})(?:[Tt]|[ ]+)" + _TAIL,
     "bsd": r"^(?P<mo>[A-Za-z]{3})[ ]+(?P<d>\d{1,2})(?:[ ]+(?P<y>\d{4}))?[ ]+" + _TAIL,
+    "parted": r"^(?P<a>\d{1,2})[/.-](?P<b>\d{1,2})[/.-](?P<y>\d{4})(?:,?[Tt ][ ]*)" + _TAIL,
 }
 _NUMBER = r"^(?P<whole>\d{1,19})(?:[.,](?P<f>\d+))?$"
 _EXPONENT = re.compile(r"(\d+)(?:[.,](\d+))?[eE]([+-]?\d+)")
-_BITS = {"iso": 0b000011, "slashed": 0b000100, "bsd": 0b001000, "number": 0b110000}
+_BITS = {"iso": 0b00000011, "slashed": 0b00000100, "bsd": 0b00001000, "number": 0b00110000}
+_DAY_FIRST, _MONTH_FIRST = 1 << 6, 1 << 7
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What is settled whatever the likelihood. A rule that is False leaves its candidates to the posterior: the clock's
+    zone or UTC; either instant of a doubled local time; this year or the one before; any unit of a number."""
+
+    zone: bool = True
+    fold: bool = True
+    year: bool = True
+    digits: bool = True
 
 
 # --- zones ----------------------------------------------------------------------------------------
@@ -158,41 +178,80 @@ def _year_of(seconds: np.ndarray) -> np.ndarray:
     return seconds.astype("datetime64[s]").astype("datetime64[Y]").astype(np.int64) + 1970
 
 
-def _calendar(kind: str, texts: pa.Array, received: np.ndarray, known: np.ndarray, zones: np.ndarray, pool: list[str | None]):
-    """(rows, instant us, other instant us) of the texts that the pattern reads and that name an instant."""
+class Candidates:
+    """Interpretations of a batch's texts: the row, the instant in microseconds, the formats that give it, the prior."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, rows: np.ndarray, us: np.ndarray, formats: int, prior: np.ndarray | bool = True) -> None:
+        within = (us >= FROM_S * 1_000_000) & (us < TO_S * 1_000_000)
+        priors = np.broadcast_to(np.asarray(prior, bool), rows.shape)
+        self.parts.append((rows[within], us[within], np.full(int(within.sum()), formats, np.int64), priors[within]))
+
+    def merged(self, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates of the allowed formats by row, the later instant first; equal instants of a row are one."""
+        rows, us, formats, prior = (np.concatenate(c) for c in zip(*self.parts)) if self.parts else (np.zeros(0, np.int64),) * 4
+        formats = formats & allowed[rows]
+        keep = formats != 0
+        rows, us, formats, prior = rows[keep], us[keep], formats[keep], prior[keep].astype(np.int64)
+        order = np.lexsort((-us, rows))
+        rows, us, formats, prior = rows[order], us[order], formats[order], prior[order]
+        if not len(rows):
+            return rows, us, formats, prior
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (us[1:] != us[:-1])]))
+        return rows[first], us[first], np.bitwise_or.reduceat(formats, first), np.maximum.reduceat(prior, first)
+
+
+def _calendar(kind: str, texts: pa.Array, received: np.ndarray, known: np.ndarray, zones: np.ndarray, pool: list[str | None], rules: Rules, out: Candidates) -> None:
+    """The candidates of the texts that the pattern reads."""
     found = pc.extract_regex(texts, _PATTERNS[kind])
     rows = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
     if not len(rows):
-        return rows, rows, rows
+        return
     part = dict(zip([f.name for f in found.type], found.take(pa.array(rows)).flatten()))
     h, mi, s = (_ints(part[k]) for k in ("h", "mi", "s"))
-    d = _ints(part["d"])
-    if kind == "bsd":
-        index = pc.index_in(pc.utf8_lower(part["mo"]), pa.array(MONTHS))
-        mo = pc.fill_null(index, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    else:
-        mo = _ints(part["mo"])
     y, us = _ints(part["y"]), _micros(part["f"])
     good = (h <= 23) & (mi <= 59) & (s <= 60)
     clock_us = (h * 3600 + mi * 60 + np.minimum(s, 59)) * 1_000_000 + us
-    if kind == "bsd":
-        open_ = pc.equal(part["y"], "").to_numpy(zero_copy_only=False) & good & (mo > 0)
-        limit_ns = received[rows] + DAY * 1_000_000_000
-        latest = _year_of(np.where(known[rows], limit_ns, 0) // 1_000_000_000)
-        y = np.where(open_, 0, y)
-        undecided = open_ & known[rows]
-        for back in range(9):
-            year = latest - back
-            at_us = _days(year, mo, d) * DAY * 1_000_000 + clock_us
-            fits = undecided & _real_date(year, mo, d) & (at_us * 1000 <= limit_ns)
-            y = np.where(fits, year, y)
-            undecided &= ~fits
-    good &= _real_date(y, mo, d)
+    marks = np.array(part["z"].to_pylist(), dtype=object)
+    place = lambda year, mo, d, formats, ok: _placed(rows, year, mo, d, clock_us, good & ok, marks, received, known, zones, pool, rules, formats, out)
+    every = np.ones(len(rows), bool)
+    if kind == "parted":
+        a, b = _ints(part["a"]), _ints(part["b"])
+        place(y, b, a, _DAY_FIRST, every)
+        place(y, a, b, _MONTH_FIRST, every)
+        return
+    d = _ints(part["d"])
+    if kind != "bsd":
+        place(y, _ints(part["mo"]), d, _BITS[kind], every)
+        return
+    index = pc.index_in(pc.utf8_lower(part["mo"]), pa.array(MONTHS))
+    mo = pc.fill_null(index, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    open_ = pc.equal(part["y"], "").to_numpy(zero_copy_only=False) & good & (mo > 0)
+    limit_ns = received[rows] + DAY * 1_000_000_000
+    latest = _year_of(np.where(known[rows], limit_ns, 0) // 1_000_000_000)
+    y, undecided = np.where(open_, 0, y), open_ & known[rows]
+    for back in range(9):
+        year = latest - back
+        at_us = _days(year, mo, d) * DAY * 1_000_000 + clock_us
+        fits = undecided & _real_date(year, mo, d) & (at_us * 1000 <= limit_ns)
+        y = np.where(fits, year, y)
+        undecided &= ~fits
+    place(y, mo, d, _BITS[kind], every)
+    if not rules.year:
+        before = np.where(open_ & (y > 0), y - 1, 0)
+        place(before, mo, d, _BITS[kind], before > 0)
+
+
+def _placed(rows, y, mo, d, clock_us, good, marks, received, known, zones, pool, rules: Rules, formats: int, out: Candidates) -> None:
+    """Candidates of local dates and times of day: by the printed zone, or the clock's, in both instants where it doubles."""
+    good = good & _real_date(y, mo, d)
     local = _days(np.where(good, y, 1970), np.where(good, mo, 1), np.where(good, d, 1)) * DAY + clock_us // 1_000_000
     first, second = np.zeros_like(local), np.zeros_like(local)
-    marks = np.array(part["z"].to_pylist(), dtype=object)
     own = zones[rows]
     printed = marks != ""
+    unzoned = good & ~printed
     for code in np.unique(own):
         z = zone(pool[code])
         mine = own == code
@@ -213,8 +272,11 @@ def _calendar(kind: str, texts: pa.Array, received: np.ndarray, known: np.ndarra
     rest = clock_us % 1_000_000
     early, late = first * 1_000_000 + rest, second * 1_000_000 + rest
     after = known[rows] & (late * 1000 > received[rows])
-    chosen, other = np.where(after, early, late), np.where(after, late, early)
-    return rows[good], chosen[good], other[good]
+    twice = good & (early != late)
+    out.add(rows[good], late[good], formats, (~after | ~twice | (not rules.fold))[good])
+    out.add(rows[twice], early[twice], formats, (after | (not rules.fold))[twice])
+    if not rules.zone:
+        out.add(rows[unzoned], (local * 1_000_000 + rest)[unzoned], formats)
 
 
 def _shifted(whole: str, fraction: str, exponent: str) -> int | None:
@@ -231,25 +293,31 @@ def _shifted(whole: str, fraction: str, exponent: str) -> int | None:
     return value if value < TO_S * 1_000_000 else None
 
 
-def _numbers(texts: pa.Array):
+def _numbers(texts: pa.Array, rules: Rules, out: Candidates) -> None:
     found = pc.extract_regex(texts, _NUMBER)
     rows = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
-    whole, fraction = found.take(pa.array(rows)).flatten() if len(rows) else (pa.array([], pa.string()),) * 2
-    width = pc.utf8_length(whole).to_numpy(zero_copy_only=False)
-    told = np.isin(width, (10, 13, 16, 19))
-    rows, width = rows[told], width[told]
-    whole, fraction = whole.filter(pa.array(told)), fraction.filter(pa.array(told))
-    # seconds are the first ten digits whatever the unit; the rest of the whole and the fraction follow the point
-    seconds = _ints(pc.utf8_slice_codeunits(whole, 0, 10)) if len(rows) else rows
-    digits = pc.binary_join_element_wise(pc.utf8_slice_codeunits(whole, 10, 19), fraction, "") if len(rows) else fraction
-    us = seconds * 1_000_000 + (_micros(digits) if len(rows) else 0)
+    if len(rows):
+        whole, fraction = found.take(pa.array(rows)).flatten()
+        width = pc.utf8_length(whole).to_numpy(zero_copy_only=False)
+        for digits, shift in ((10, 0), (13, 3), (16, 6), (19, 9)):
+            mine = np.flatnonzero((width == digits) if rules.digits else (width >= shift + 9) & (width <= shift + 10))
+            if not len(mine):
+                continue
+            at = pa.array(mine)
+            number, part = whole.take(at), fraction.take(at)
+            # the seconds of a whole; what is behind them, and the fraction, follow the point
+            if shift:
+                seconds, rest = pc.utf8_slice_codeunits(number, 0, -shift), pc.utf8_slice_codeunits(number, -shift)
+                part = pc.binary_join_element_wise(rest, part, "")
+            else:
+                seconds = number
+            out.add(rows[mine], _ints(seconds) * 1_000_000 + _micros(part), _BITS["number"])
     more, values = [], []
     for i in np.flatnonzero(pc.match_substring_regex(texts, "^[0-9.,]+[eE]").fill_null(False).to_numpy(zero_copy_only=False)):
         if (m := _EXPONENT.fullmatch(texts[i].as_py())) and (value := _shifted(m[1], m[2] or "", m[3])) is not None:
             more.append(i)
             values.append(value)
-    rows, us = np.concatenate([rows, np.array(more, np.int64)]), np.concatenate([us, np.array(values, np.int64)])
-    return rows, us, us
+    out.add(np.array(more, np.int64), np.array(values, np.int64), _BITS["number"])
 
 
 def delay_class(delay_us: np.ndarray) -> np.ndarray:
@@ -258,37 +326,30 @@ def delay_class(delay_us: np.ndarray) -> np.ndarray:
     return 1 + np.where(delay_us < 0, 40, 0) + power
 
 
-def interpret(texts: pa.Array, received: pa.Array, zone_names: pa.Array, allowed: np.ndarray) -> dict[str, np.ndarray]:
-    """Bit mask of the formats that read each text, the instant, the other instant, and the delay classes."""
-    n = len(texts)
+def interpret(texts: pa.Array, received: pa.Array, zone_names: pa.Array, allowed: np.ndarray, rules: Rules = Rules()) -> dict[str, np.ndarray]:
+    """The candidates of all texts: row, instant (us), and a code of formats, delay class and prior."""
     texts = pc.utf8_trim_whitespace(pc.fill_null(texts, ""))
     known = pc.is_valid(received).to_numpy(zero_copy_only=False)
     got = pc.fill_null(received, 0).to_numpy(zero_copy_only=False)
     coded = zone_names.dictionary_encode()
     pool = [*coded.dictionary.to_pylist(), None]
     codes = pc.fill_null(coded.indices, len(pool) - 1).to_numpy(zero_copy_only=False)
-    mask, us, other = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for kind, bits in _BITS.items():
-        rows, first, second = _numbers(texts) if kind == "number" else _calendar(kind, texts, got, known, codes, pool)
-        within = (first >= FROM_S * 1_000_000) & (first < TO_S * 1_000_000)
-        rows, first, second = rows[within], first[within], second[within]
-        mask[rows], us[rows], other[rows] = bits, first, second
-    mask &= allowed
-    received_us = got // 1000
-    near = np.where(known, delay_class(received_us - us), 0)
-    far = np.where(other == us, -1, np.where(known, delay_class(received_us - other), 0))
-    return {"mask": mask, "us": us, "other_us": other, "near": near.astype(np.int32), "far": far.astype(np.int32)}
+    out = Candidates()
+    for kind in _PATTERNS:
+        _calendar(kind, texts, got, known, codes, pool, rules, out)
+    _numbers(texts, rules, out)
+    rows, us, formats, prior = out.merged(allowed)
+    delay = np.where(known[rows], delay_class(got[rows] // 1000 - us), 0)
+    return {"row": rows, "us": us, "code": formats | (delay << 8) | (prior << 15)}
 
 
 def _allowed(formats: list[list[str] | None]) -> np.ndarray:
-    return np.array([sum(1 << FORMATS.index(f) for f in set(x) if f in FORMATS) if x else 0b111111 for x in formats], np.int32)
-
+    return np.array([sum(1 << FORMATS.index(f) for f in set(x) if f in FORMATS) if x else 0b11111111 for x in formats], np.int64)
 
-_PARSED = "reading_id bigint, clock_id int, mask int, event_ns bigint, other_ns bigint, near int, far int"
 
-
-def parsed(readings: DataFrame, clocks: DataFrame) -> DataFrame:
-    """Each reading with its valid formats and instants. The clocks join by what Spark finds their size to be."""
+def parsed(readings: DataFrame, clocks: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """reading_id, clock_id, codes, instants: each reading with its candidates. The clocks join by what Spark finds their
+    size to be."""
     known = clocks.select("clock_id", "formats", "zone_name").dropDuplicates(["clock_id"])
     rows = readings.select("reading_id", "clock_id", "original_time", "received_ns").join(known, "clock_id", "left")
 
@@ -296,83 +357,115 @@ def parsed(readings: DataFrame, clocks: DataFrame) -> DataFrame:
         for b in batches:
             got = interpret(
                 b.column("original_time").cast(pa.string()), b.column("received_ns"), b.column("zone_name").cast(pa.string()),
-                _allowed(b.column("formats").to_pylist()),
+                _allowed(b.column("formats").to_pylist()), rules,
             )
-            none = got["mask"] == 0
+            starts = pa.array(np.searchsorted(got["row"], np.arange(b.num_rows + 1)), pa.int32())
+            codes = pa.ListArray.from_arrays(starts, pa.array(got["code"], pa.int32()))
+            instants = pa.ListArray.from_arrays(starts, pa.array(got["us"] * 1000, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("reading_id"), b.column("clock_id"), pa.array(got["mask"]),
-                    pa.array(got["us"] * 1000, mask=none), pa.array(got["other_us"] * 1000, mask=none | (got["far"] < 0)),
-                    pa.array(got["near"]), pa.array(got["far"]),
-                ],
-                ["reading_id", "clock_id", "mask", "event_ns", "other_ns", "near", "far"],
+                [b.column("reading_id"), b.column("clock_id"), codes, instants], ["reading_id", "clock_id", "codes", "instants"]
             )
 
-    return rows.select("reading_id", "clock_id", "original_time", "received_ns", "formats", "zone_name").mapInArrow(run, _PARSED)
+    return rows.select("reading_id", "clock_id", "original_time", "received_ns", "formats", "zone_name").mapInArrow(
+        run, "reading_id bigint, clock_id int, codes array<int>, instants array<bigint>"
+    )
 
 
 # --- the mixture of each clock --------------------------------------------------------------------
 
-def fit(mask: np.ndarray, near: np.ndarray, far: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM over counts: weights of the formats and of the delay classes of one clock."""
-    valid = ((mask[:, None] >> np.arange(len(FORMATS))) & 1).astype(float)
-    weight, delay = np.full(len(FORMATS), 1 / len(FORMATS)), np.full(DELAYS, 1 / DELAYS)
-    two = far >= 0
-    before = -np.inf
+@dataclass
+class Mixture:
+    """Weights of the formats and of the delay classes of one clock."""
+
+    weight: np.ndarray
+    delay: np.ndarray
+
+    @staticmethod
+    def even() -> "Mixture":
+        return Mixture(np.full(len(FORMATS), 1 / len(FORMATS)), np.full(DELAYS, 1 / DELAYS))
+
+
+class Kinds:
+    """Readings with the same candidates, flat: the kind each candidate belongs to, its formats, delay class and prior."""
+
+    def __init__(self, codes: list):
+        sizes = np.array([len(c) for c in codes], np.int64)
+        self.count, self.kind = len(codes), np.repeat(np.arange(len(codes)), sizes)
+        self.starts = np.cumsum(sizes) - sizes
+        flat = np.concatenate([np.asarray(c, np.int64) for c in codes]) if len(codes) else np.zeros(0, np.int64)
+        self.valid = ((flat[:, None] >> np.arange(len(FORMATS))) & 1).astype(float)
+        self.delay, self.prior = (flat >> 8) & 127, ((flat >> 15) & 1).astype(float)
+        # rules that leave a reading without candidate do not hold for it
+        self.prior = np.where(np.bincount(self.kind, self.prior, self.count)[self.kind] > 0, self.prior, 1.0)
+
+    def likelihood(self, m: Mixture) -> np.ndarray:
+        return (self.valid * m.weight).sum(1) * m.delay[self.delay]
+
+
+def fit(kinds: Kinds, n: np.ndarray, mixture: Mixture | None = None) -> Mixture:
+    """EM over counts. Expectation: a reading is shared among its candidates by likelihood and prior, and a candidate
+    among its formats. Maximisation: formats and delays are weighted by what they got."""
+    m, before = mixture or Mixture.even(), -np.inf
     for _ in range(ROUNDS):
-        by_format = valid * weight
-        by_fold = np.stack([delay[near], np.where(two, delay[np.maximum(far, 0)], 0)], 1)
-        likelihood = by_format.sum(1) * by_fold.sum(1)
-        now = float((n * np.log(np.maximum(likelihood, 1e-300))).sum())
-        share = by_format / np.maximum(by_format.sum(1, keepdims=True), 1e-300)
-        fold = by_fold / np.maximum(by_fold.sum(1, keepdims=True), 1e-300)
-        weight = (share * n[:, None]).sum(0) + 1e-6
-        weight /= weight.sum()
-        delay = np.bincount(near, n * fold[:, 0], DELAYS) + np.bincount(np.maximum(far, 0), n * fold[:, 1] * two, DELAYS) + 1e-3
-        delay /= delay.sum()
+        joint = kinds.likelihood(m) * kinds.prior
+        whole = np.bincount(kinds.kind, joint, kinds.count)
+        now = float((n * np.log(np.maximum(whole, 1e-300))).sum())
+        share = n[kinds.kind] * joint / np.maximum(whole[kinds.kind], 1e-300)
+        by_format = kinds.valid * m.weight
+        by_format *= (share / np.maximum(by_format.sum(1), 1e-300))[:, None]
+        weight, delay = by_format.sum(0) + 1e-6, np.bincount(kinds.delay, share, DELAYS) + 1e-3
+        m = Mixture(weight / weight.sum(), delay / delay.sum())
         if now - before < TOLERANCE * max(1.0, abs(now)):
             break
         before = now
-    return weight, delay
+    return m
 
 
-def mixtures(readings: DataFrame) -> DataFrame:
-    """One row for each clock: weights of formats and delays. A clock's group has one row for each kind of
-    reading, at most 2^6 masks times pairs of delay classes, however many readings it has."""
-    counts = readings.where("mask > 0").groupBy("clock_id", "mask", "near", "far").agg(F.count("*").alias("n"))
+_CHOSEN = "clock_id int, codes array<int>, pick int, other int, posterior double, format string, format_posterior double"
+
+
+def choices(kinds: Kinds, m: Mixture) -> dict[str, list]:
+    """For each kind of reading the candidate of highest posterior, the next best by likelihood, and how sure it is."""
+    likelihood = kinds.likelihood(m)
+    joint = likelihood * kinds.prior
+    by_format = kinds.valid * m.weight
+    out: dict[str, list] = {"pick": [], "other": [], "posterior": [], "format": [], "format_posterior": []}
+    ends = np.append(kinds.starts[1:], len(kinds.kind))
+    for a, z in zip(kinds.starts.tolist(), ends.tolist()):
+        pick = a + int(joint[a:z].argmax())
+        rest = np.delete(np.arange(a, z), pick - a)
+        total, formats = likelihood[a:z].sum(), by_format[pick]
+        out["pick"].append(pick - a)
+        out["other"].append(int(rest[likelihood[rest].argmax()]) - a if len(rest) else None)
+        out["posterior"].append(float(likelihood[pick] / total) if total > 0 else 1 / (z - a))
+        out["format"].append(FORMATS[int(formats.argmax())])
+        out["format_posterior"].append(float(formats.max() / formats.sum()))
+    return out
+
+
+def chosen(readings: DataFrame, fitting=fit) -> DataFrame:
+    """For each clock and kind of reading what its mixture chooses. A clock's group has one row for each kind of
+    reading, combinations of a few formats and delay classes, however many readings it has."""
+    counts = readings.where("size(codes) > 0").groupBy("clock_id", "codes").agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight, delay = fit(pdf["mask"].to_numpy(), pdf.near.to_numpy(), pdf.far.to_numpy(), pdf.n.to_numpy(float))
-        return pd.DataFrame({"clock_id": pdf.clock_id[:1], "weight": [weight.tolist()], "delay": [delay.tolist()]})
+        kinds = Kinds(pdf.codes.tolist())
+        got = choices(kinds, fitting(kinds, pdf.n.to_numpy(float)))
+        return pd.DataFrame({"clock_id": pdf.clock_id, "codes": pdf.codes, **got}).astype({"pick": "Int32", "other": "Int32"})
 
-    return counts.groupBy("clock_id").applyInPandas(run, "clock_id int, weight array<double>, delay array<double>")
+    return counts.groupBy("clock_id").applyInPandas(run, _CHOSEN)
 
 
-def normalized(readings: DataFrame, clocks: DataFrame) -> DataFrame:
-    """reading_id, clock_id, event_ns, format, posterior, status (resolved, ambiguous, no_time), other_ns."""
-    rows = materialize(parsed(readings, clocks), "clock-readings")
-    even = F.array_repeat(F.lit(1.0), DELAYS)
-    # readings without a clock have no mixture of their own: all formats and delays are alike to them
-    joined = rows.join(mixtures(rows), "clock_id", "left").withColumns(
-        {"weight": F.coalesce("weight", F.array_repeat(F.lit(1.0), len(FORMATS))), "delay": F.coalesce("delay", even)}
-    )
-    share = F.array(*[
-        F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("weight")[i]).otherwise(F.lit(0.0)) for i in range(len(FORMATS))
-    ])
-    best = F.array_max(F.col("share"))
-    total = F.aggregate("share", F.lit(0.0), lambda a, x: a + x)
-    near, far = F.col("delay")[F.col("near")], F.when(F.col("far") >= 0, F.col("delay")[F.col("far")]).otherwise(F.lit(0.0))
-    # iso8601 and dashed name the same reading of a text, as do the two epochs: formats that agree on the instant
-    # leave nothing open, so the posterior of an instant is that of its fold
-    return (
-        joined.withColumn("share", share)
-        .withColumn("format", F.when(F.col("mask") > 0, F.array(*map(F.lit, FORMATS))[F.array_position("share", best).cast("int") - 1]))
-        .withColumn("posterior", F.when(F.col("mask") > 0, near / (near + far)))
-        .select(
-            "reading_id", "clock_id", "event_ns", "format", "posterior",
-            F.when(F.col("mask") == 0, "no_time").when(F.col("other_ns").isNotNull() & (F.col("posterior") < SURE), "ambiguous")
-            .otherwise("resolved").alias("status"),
-            "other_ns", (best / F.when(total > 0, total)).alias("format_posterior"),
-        )
-    )
+def normalized(readings: DataFrame, clocks: DataFrame, rules: Rules = Rules(), fitting=fit) -> DataFrame:
+    """reading_id, clock_id, event_ns, format, posterior, status (resolved, ambiguous, no_time), other_ns, format_posterior.
 
+    event_ns is the candidate of highest posterior under the mixture of the reading's clock; posterior is its part of the
+    likelihood of all candidates, those that a rule excludes among them."""
+    rows = materialize(parsed(readings, clocks, rules), "clock-readings")
+    told = chosen(rows, fitting).withColumnsRenamed({"clock_id": "c", "codes": "k"})
+    joined = rows.join(told, F.col("clock_id").eqNullSafe(F.col("c")) & (F.col("codes") == F.col("k")), "left")
+    return joined.select(
+        "reading_id", "clock_id", F.get("instants", F.col("pick")).alias("event_ns"), "format", "posterior",
+        F.when(F.col("pick").isNull(), "no_time").when(F.col("posterior") < SURE, "ambiguous").otherwise("resolved").alias("status"),
+        F.get("instants", F.col("other")).alias("other_ns"), "format_posterior",
+    )

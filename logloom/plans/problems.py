@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.operators import clocks, late, loglines, rejects, skew
@@ -34,6 +34,19 @@ def p2_readings(spark: SparkSession, folder: str) -> DataFrame:
     return clocks.normalized(table(spark, folder, "clock_readings"), table(spark, folder, "clocks"))
 
 
+def p2_formats(spark: SparkSession, folder: str) -> DataFrame:
+    """Events whose times were written day first or month first, as their source has it, and came without receipt: what
+    a text such as 03/04/2024 means is told by the mixture of its source alone."""
+    day_first = "pmod(xxhash64(event_type), 2) = 0"
+    text = f"date_format(ts, if({day_first}, 'dd/MM/yyyy HH:mm:ss', 'MM/dd/yyyy HH:mm:ss'))"
+    source = F.dense_rank().over(Window.orderBy("event_type")).alias("clock_id")
+    events = table(spark, folder, "events")
+    kinds = events.select("event_type").distinct().select("event_type", source)  # a row for each of a few kinds
+    readings = events.join(kinds, "event_type").selectExpr("event_id AS reading_id", "clock_id", f"{text} AS original_time", "CAST(NULL AS BIGINT) AS received_ns")
+    declared = kinds.selectExpr("clock_id", "array('day_first', 'month_first') AS formats", "'UTC' AS zone_name")
+    return clocks.normalized(readings, declared).select("reading_id", "event_ns")
+
+
 def _revisions(spark: SparkSession, folder: str) -> DataFrame:
     return late.judged(table(spark, folder, "extractions"), table(spark, folder, "records"))
 
@@ -100,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "p1_metrics": p1_metrics,
     "p2_found": p2_found,
     "p2_readings": p2_readings,
+    "p2_formats": p2_formats,
     "p3_found": p3_found,
     "p3_hours": p3_hours,
     "p3_revisions": p3_revisions,
@@ -124,6 +138,7 @@ WITH told AS (
 )"""
 
 SQL: dict[str, str] = {
+    "p2_formats": "SELECT event_id AS reading_id, epoch_us(date_trunc('second', ts)) * 1000 AS event_ns FROM events",
     "p3_found": _ARRIVALS + """
 SELECT record_id, CASE WHEN arrival_ns >= end_ns + 21600000000000 THEN 'too_late' ELSE 'correction' END AS fate
 FROM judged WHERE arrival_ns >= end_ns + 600000000000""",

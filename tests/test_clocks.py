@@ -8,12 +8,17 @@ import pyarrow as pa
 from logloom.operators import clocks as C
 from logloom.sources.tables import table
 
-ALL = np.array([0b111111], np.int32)
+ALL = np.array([0b00111111], np.int64)
+
+
+def candidates(text, zone, received, rules=C.Rules(), allowed=ALL):
+    """(instant in ns, prior) of every interpretation."""
+    got = C.interpret(pa.array([text], pa.string()), pa.array([received], pa.int64()), pa.array([zone], pa.string()), allowed, rules)
+    return [(int(us) * 1000, int(code) >> 15) for us, code in zip(got["us"], got["code"])]
 
 
 def one(text, zone, received):
-    got = C.interpret(pa.array([text], pa.string()), pa.array([received], pa.int64()), pa.array([zone], pa.string()), ALL)
-    return int(got["us"][0]) * 1000 if got["mask"][0] else None
+    return next((ns for ns, prior in candidates(text, zone, received) if prior), None)
 
 
 def test_against_one_value_at_a_time(spark, small):
@@ -61,7 +66,48 @@ def test_nulls_unknown_clocks_and_empty_tables(spark):
     assert C.normalized(readings.limit(0), clocks).count() == 0
 
 
+def code(formats, delay, prior=1):
+    return formats | delay << 8 | prior << 15
+
+
 def test_mixture_weights_follow_the_counts():
-    mask, near = np.array([0b11, 0b100]), np.array([5, 9])
-    weight, delay = C.fit(mask, near, np.array([-1, -1]), np.array([30.0, 10.0]))
-    assert abs(weight[0] + weight[1] - 0.75) < 1e-3 and abs(weight[2] - 0.25) < 1e-3 and delay[5] > delay[9]
+    kinds = C.Kinds([[code(0b11, 5)], [code(0b100, 9)]])
+    m = C.fit(kinds, np.array([30.0, 10.0]))
+    assert abs(m.weight[0] + m.weight[1] - 0.75) < 1e-3 and abs(m.weight[2] - 0.25) < 1e-3 and m.delay[5] > m.delay[9]
+
+
+def test_the_posterior_chooses_and_a_rule_of_nought_forbids():
+    day, month = 1 << 6, 1 << 7
+    kinds = C.Kinds([[code(day, 3)], [code(month, 3), code(day, 3)], [code(month, 3, 1), code(day, 3, 0)]])
+    m = C.fit(kinds, np.array([50.0, 20.0, 1.0]))
+    got = C.choices(kinds, m)
+    assert got["pick"] == [0, 1, 0] and got["format"][1] == "day_first" and got["posterior"][1] > C.SURE > got["posterior"][2]
+    assert C.choices(kinds, C.Mixture.even())["pick"][1] == 0
+
+
+def test_candidates_that_rules_leave_open():
+    r = 1_793_600_000_000_000_000
+    free = C.Rules(zone=False, fold=False, year=False, digits=False)
+    assert len(candidates("2025-11-02 01:30:00", "America/New_York", r)) == 2 and sum(p for _, p in candidates("2025-11-02 01:30:00", "America/New_York", r)) == 1
+    assert [p for _, p in candidates("2025-11-02 01:30:00", "America/New_York", r, free)] == [1, 1, 1]
+    assert len(candidates("Oct 5 10:00:00", "UTC", r, free)) == 2 and len(candidates("Oct 5 10:00:00", "UTC", r)) == 1
+    assert candidates("999999999999", "UTC", r) == [] and candidates("999999999999", "UTC", r, free) == [(999999999999 * 10**6, 1)]
+    both = np.array([0b11000000], np.int64)
+    assert len(candidates("03/04/2026 10:00:00", "UTC", r, C.Rules(), both)) == 2 and len(candidates("13/04/2026 10:00", "UTC", r, C.Rules(), both)) == 0
+    assert len(candidates("13.04.2026 10:00:00", "UTC", r, C.Rules(), both)) == 1 == len(candidates("04-04-2026 10:00:00", "UTC", r, C.Rules(), both))
+
+
+def test_without_the_fit_rows_change(spark):
+    """Planted ambiguity: two sources write the same texts, one day first, one month first, without receipt."""
+    days = [(d, m) for d in range(1, 29) for m in range(1, 13)]
+    rows = [(k, 1, f"{d:02}/{m:02}/2024 00:00:00", None) for k, (d, m) in enumerate(days)] + [(1000 + k, 2, f"{m:02}/{d:02}/2024 00:00:00", None) for k, (d, m) in enumerate(days)]
+    readings = spark.createDataFrame(rows, "reading_id bigint, clock_id int, original_time string, received_ns bigint")
+    declared = spark.createDataFrame([(c, ["day_first", "month_first"], "UTC") for c in (1, 2)], "clock_id int, formats array<string>, zone_name string")
+    truth = {k % 1000: int((np.datetime64(f"2024-{m:02}-{d:02}") - np.datetime64("1970-01-01")) / np.timedelta64(1, "s")) * 10**9 for k, (d, m) in enumerate(days)}
+    got = {r.reading_id: r.event_ns for r in C.normalized(readings, declared).collect()}
+    assert got == {k: truth[k % 1000] for k, *_ in rows}
+    even = C.normalized(readings, declared, fitting=lambda kinds, n: C.Mixture.even()).collect()
+    assert {r.reading_id: r.event_ns for r in even} != got and any(r.status == "ambiguous" and r.other_ns for r in even)
+    # delays decide as well: receipt a minute after the event leaves one order of day and month
+    near = spark.createDataFrame([(k, 3, t, truth[k % 1000] + 60 * 10**9) for k, c, t, _ in rows], readings.schema)
+    assert {r.reading_id: r.event_ns for r in C.normalized(near, declared.limit(0)).collect()} == got
