@@ -4,6 +4,10 @@ A grammar is text, one rule a line: `name weight -> symbol symbol ...`. A symbol
 between slashes a regular expression, anything else a rule name; `name=symbol` captures what the symbol covers.
 The score of a parse is the product of the weights of its rules; of several parses of one text the highest
 scoring is kept (of equal ones the first found, rules being tried in order).
+
+A terminal matches in one way at a place, so terminals that follow one another are one terminal, each part of it
+atomic: rules are compiled so, and a rule that is the only one of its name and has terminals alone is put where
+its name stands. What is left to the chart are the places where rules are chosen.
 """
 
 from __future__ import annotations
@@ -18,150 +22,263 @@ _SYMBOL = re.compile(r"""(?:(\w+)=)?(?:"((?:[^"\\]|\\.)*)"|/((?:[^/\\]|\\.)*)/|(
 
 @dataclass(frozen=True)
 class Rule:
-    index: int
     name: str
     weight: float  # logarithm
-    symbols: tuple[object, ...]  # compiled patterns and rule names
-    captures: tuple[str | None, ...]
+    symbols: tuple[tuple[str | None, str | None, str | None], ...]  # capture, pattern or None, name or None
 
 
-class Grammar:
-    def __init__(self, text: str, start: str):
-        self.start, self.rules = start, {}
-        count = 0
-        for line in filter(None, map(str.strip, text.splitlines())):
-            m = _RULE.fullmatch(line)
+@dataclass(frozen=True)
+class Terminal:
+    """Terminals in a row: one pattern, and the captured parts of it as (name, group)."""
+
+    match: object
+    captures: tuple[tuple[str, int], ...]
+    parts: tuple[object, ...]
+
+    def reach(self, text: str, position: int) -> int:
+        """How far the terminals one after the other come."""
+        for part in self.parts:
+            m = part(text, position)
             if not m:
-                raise ValueError(f"not a rule: {line}")
-            symbols, captures, at = [], [], 0
-            while at < len(m[3]):
-                s = _SYMBOL.match(m[3], at)
-                if not s:
-                    raise ValueError(f"not a symbol: {m[3][at:]}")
-                captures.append(s[1])
-                if s[4]:
-                    symbols.append(s[4])
-                elif s[3] is not None:
-                    symbols.append(re.compile(s[3].replace(r"\/", "/"), re.S))
+                break
+            position = m.end()
+        return position
+
+
+@dataclass(frozen=True)
+class State:
+    """A rule with a dot before one of its symbols; the next state is one further."""
+
+    name: str
+    weight: float
+    terminal: Terminal | None
+    awaits: str | None  # name of the rule that is to follow; with neither the rule is complete
+    capture: str | None
+
+
+def _read(text: str) -> list[Rule]:
+    rules = []
+    for line in filter(None, map(str.strip, text.splitlines())):
+        m = _RULE.fullmatch(line)
+        if not m:
+            raise ValueError(f"not a rule: {line}")
+        symbols, at = [], 0
+        while at < len(m[3]):
+            s = _SYMBOL.match(m[3], at)
+            if not s:
+                raise ValueError(f"not a symbol: {m[3][at:]}")
+            pattern = None
+            if s[3] is not None:
+                pattern = s[3].replace(r"\/", "/")
+            elif s[2] is not None:
+                pattern = re.escape(re.sub(r"\\(.)", r"\1", s[2]))
+            symbols.append((s[1], pattern, s[4]))
+            at = s.end()
+            while at < len(m[3]) and m[3][at].isspace():
+                at += 1
+        rules.append(Rule(m[1], math.log(float(m[2])), tuple(symbols)))
+    return rules
+
+
+class Grammar:
+    """loose: rules whose terminals do not count as attempts when nothing else parses (see Parse.unparsed)."""
+
+    def __init__(self, text: str, start: str, loose: tuple[str, ...] = ()):
+        rules: dict[str, list[Rule]] = {}
+        for rule in _read(text):
+            rules.setdefault(rule.name, []).append(rule)
+        for rule in (r for alternatives in rules.values() for r in alternatives):
+            for _, pattern, name in rule.symbols:
+                if pattern is None and name not in rules:
+                    raise ValueError(f"no rule {name}")
+        self.start, self.loose = start, frozenset(loose)
+        self.states: list[State] = []
+        self.begins: dict[str, list[int]] = {}  # name -> states that begin its rules
+        for name, alternatives in rules.items():
+            self.begins[name] = [self._compiled(rule, rules) for rule in alternatives]
+
+    def _compiled(self, rule: Rule, rules: dict[str, list[Rule]]) -> int:
+        begin, weight = len(self.states), rule.weight
+        row: list[str] = []
+        names: list[str] = []
+        made: list[tuple[Terminal | None, str | None, str | None]] = []
+
+        def close() -> None:
+            if row:
+                pattern = re.compile("".join(row), re.S)
+                captures = tuple((name.split("__")[0], pattern.groupindex[name]) for name in names)
+                made.append((Terminal(pattern.match, captures, tuple(re.compile(p, re.S).match for p in row)), None, None))
+                row.clear()
+                names.clear()
+
+        def terminals(symbols) -> tuple[str, float] | None:
+            """One pattern for symbols that are terminals, or stand for a single rule of such."""
+            parts, more = [], 0.0
+            for capture, pattern, name in symbols:
+                if pattern is None:
+                    alone = rules[name]
+                    inner = terminals(alone[0].symbols) if len(alone) == 1 and name != rule.name else None
+                    if inner is None:
+                        return None
+                    body, more = inner[0], more + inner[1] + alone[0].weight
                 else:
-                    symbols.append(re.compile(re.escape(re.sub(r"\\(.)", r"\1", s[2]))))
-                at = s.end()
-                while at < len(m[3]) and m[3][at].isspace():
-                    at += 1
-            self.rules.setdefault(m[1], []).append(Rule(count, m[1], math.log(float(m[2])), tuple(symbols), tuple(captures)))
-            count += 1
-        for rules in self.rules.values():
-            for rule in rules:
-                for symbol in rule.symbols:
-                    if isinstance(symbol, str) and symbol not in self.rules:
-                        raise ValueError(f"no rule {symbol}")
-
-    def parse(self, text: str) -> "Parse":
-        """The best parse of the whole text, or how far a parse came.
-
-        An item is (rule, dot, origin); chart[position] maps it to (score, trail), the trail being the linked
-        list of captures behind its dot. Positions are those that terminals reach, so a line that no rule
-        begins costs one look at each first terminal."""
-        charts: dict[int, dict] = {0: {}}
+                    body = f"(?>{pattern})"
+                if capture:
+                    label = f"{capture}__{len(names)}"
+                    names.append(label)
+                    body = f"(?P<{label}>{body})"
+                parts.append(body)
+            return "".join(parts), more
+
+        for symbol in rule.symbols:
+            kept = len(names)
+            got = terminals([symbol])
+            if got is not None:
+                row.append(got[0])
+                weight += got[1]
+                continue
+            del names[kept:]
+            close()
+            made.append((None, symbol[2], symbol[0]))
+        close()
+        for terminal, name, capture in [*made, (None, None, None)]:
+            self.states.append(State(rule.name, weight, terminal, name, capture))
+        return begin
+
+    def parse(self, text: str, trace: bool = False) -> "Parse":
+        """The best parse of the whole text, and with trace how far the attempts came that are not loose.
+
+        An item is (state, origin); charts[position] maps it to (score, trail), the trail being the linked list of
+        captures behind its dot. Positions are those that terminals reach. A rule that begins with a terminal enters
+        the chart behind it, so what does not match costs one look."""
+        states, begins, loose, end = self.states, self.begins, self.loose, len(text)
+        charts: dict[int, dict[tuple[int, int], tuple]] = {0: {}}
+        waits: dict[int, dict[str, list[tuple[int, int]]]] = {}
         agenda = [0]
-        reached, end = 0, len(text)
-        for rule in self.rules[self.start]:
-            charts[0][rule, 0, 0] = (rule.weight, None)
-        best = None
+        reached, best = 0, None
         while agenda:
             position = min(agenda)
             agenda.remove(position)
             chart = charts[position]
             waiting: dict[str, list] = {}
+            waits[position] = waiting
             finished: dict[str, list] = {}
             queue = list(chart)
-            while queue:
+            pending = [self.start] if position == 0 else []
+            while queue or pending:
+                if pending:
+                    # predict a rule at this position
+                    for number in begins[pending.pop()]:
+                        state = states[number]
+                        if state.terminal is None:
+                            item = (number, position)
+                            if item not in chart:
+                                chart[item] = (state.weight, None)
+                                queue.append(item)
+                            continue
+                        m = state.terminal.match(text, position)
+                        if trace and state.name not in loose:
+                            reached = max(reached, state.terminal.reach(text, position))
+                        if not m:
+                            continue
+                        to = m.end()
+                        caps = state.terminal.captures
+                        trail = (None, None, [(n, *m.span(g)) for n, g in caps]) if caps else None
+                        item = (number + 1, position)
+                        target = charts.get(to)
+                        if target is None:
+                            target = charts[to] = {}
+                            agenda.append(to)
+                        if item not in target or state.weight > target[item][0]:
+                            target[item] = (state.weight, trail)
+                            if to == position:
+                                queue.append(item)
+                    continue
                 item = queue.pop()
-                rule, dot, origin = item
+                number, origin = item
                 score, trail = chart[item]
-                if dot == len(rule.symbols):
-                    if rule.name == self.start and origin == 0 and position == end:
-                        if best is None or score > best[0]:
-                            best = (score, trail, rule)
+                state = states[number]
+                if state.awaits is not None:
+                    name = state.awaits
+                    known = waiting.get(name)
+                    if known is None:
+                        waiting[name] = [item]
+                        pending.append(name)
+                    elif item not in known:
+                        known.append(item)
+                    for done, inside in finished.get(name, ()):
+                        self._advance(chart, queue, item, (score, trail), done, inside, position, position)
+                elif state.terminal is not None:
+                    m = state.terminal.match(text, position)
+                    if trace and state.name not in loose:
+                        reached = max(reached, state.terminal.reach(text, position))
+                    if not m:
                         continue
-                    parents = waiting if origin == position else charts[origin].get("waiting", {})
+                    to = m.end()
+                    caps = state.terminal.captures
+                    if caps:
+                        trail = (trail, None, [(n, *m.span(g)) for n, g in caps])
+                    item = (number + 1, origin)
+                    target = charts.get(to)
+                    if target is None:
+                        target = charts[to] = {}
+                        agenda.append(to)
+                    if item not in target or score > target[item][0]:
+                        target[item] = (score, trail)
+                        if to == position:
+                            queue.append(item)
+                else:
+                    name = state.name
+                    if name == self.start and origin == 0 and position == end and (best is None or score > best[0]):
+                        best = (score, trail)
                     if origin == position:
-                        finished.setdefault(rule.name, []).append((score, trail))
-                    for parent in parents.get(rule.name, ()):
-                        self._advance(chart, queue, charts[origin][parent], parent, score, trail, text, origin, position)
-                    continue
-                symbol = rule.symbols[dot]
-                if isinstance(symbol, str):
-                    if item not in waiting.setdefault(symbol, []):
-                        waiting[symbol].append(item)
-                        for sub in self.rules[symbol]:
-                            new = (sub, 0, position)
-                            if new not in chart:
-                                chart[new] = (sub.weight, None)
-                                queue.append(new)
-                    for sub_score, sub_trail in finished.get(symbol, ()):
-                        self._advance(chart, queue, (score, trail), item, sub_score, sub_trail, text, position, position)
-                    continue
-                m = symbol.match(text, position)
-                if not m:
-                    continue
-                to = m.end()
-                reached = max(reached, to)
-                name = rule.captures[dot]
-                new_trail = (trail, None, name, position, to) if name else trail
-                new = (rule, dot + 1, origin)
-                if to == position:
-                    if new not in chart or score > chart[new][0]:
-                        chart[new] = (score, new_trail)
-                        queue.append(new)
-                    continue
-                target = charts.get(to)
-                if target is None:
-                    target = charts[to] = {}
-                    agenda.append(to)
-                if new not in target or score > target[new][0]:
-                    target[new] = (score, new_trail)
-            chart["waiting"] = waiting
+                        finished.setdefault(name, []).append((score, trail))
+                    for parent in waits[origin].get(name, ()):
+                        self._advance(chart, queue, parent, charts[origin][parent], score, trail, origin, position)
         if best is None:
-            return Parse(text, None, -math.inf, {}, reached)
+            return Parse(text, -math.inf, None, reached)
         spans: dict[str, tuple[int, int]] = {}
         _collect(best[1], spans)
-        return Parse(text, best[2], best[0], spans, end)
+        return Parse(text, best[0], spans, reached)
 
-    @staticmethod
-    def _advance(chart, queue, parent_state, parent, score, trail, text, start, position) -> None:
-        rule, dot, origin = parent
+    def _advance(self, chart, queue, parent, parent_state, score, trail, start, position) -> None:
+        number, origin = parent
         parent_score, parent_trail = parent_state
-        name = rule.captures[dot]
-        joined = (parent_trail, trail, name, start, position) if name or trail else parent_trail
-        new, total = (rule, dot + 1, origin), parent_score + score
-        if new not in chart or total > chart[new][0]:
-            chart[new] = (total, joined)
-            queue.append(new)
+        name = self.states[number].capture
+        if name:
+            joined = (parent_trail, trail, [(name, start, position)])
+        elif trail:
+            joined = (parent_trail, trail, ())
+        else:
+            joined = parent_trail
+        item, total = (number + 1, origin), parent_score + score
+        if item not in chart or total > chart[item][0]:
+            chart[item] = (total, joined)
+            queue.append(item)
 
 
 def _collect(trail, spans: dict[str, tuple[int, int]]) -> None:
+    """The captured spans; of a name captured more than once the last."""
     pending = [trail]
     while pending:
         node = pending.pop()
         if node is None:
             continue
-        before, inside, name, start, end = node
-        if name:
+        before, inside, captured = node
+        for name, start, end in captured:
             spans.setdefault(name, (start, end))
         pending += [before, inside]
 
 
 @dataclass(frozen=True)
 class Parse:
-    """rule: the start rule that won, None if nothing parses. unparsed: where the furthest attempt stopped."""
+    """spans: what was captured, None if nothing parses. unparsed: where the furthest attempt stopped, if traced."""
 
     text: str
-    rule: Rule | None
     score: float
-    spans: dict[str, tuple[int, int]]
+    spans: dict[str, tuple[int, int]] | None
     unparsed: int
 
     def get(self, name: str) -> str | None:
-        span = self.spans.get(name)
+        span = self.spans and self.spans.get(name)
         return None if span is None else self.text[span[0]:span[1]]
