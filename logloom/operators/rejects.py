@@ -2,8 +2,8 @@
 
 A block of records is parsed as a whole on a columnar path (Arrow's CSV reader, one JSON document, one
 token scan) and its columns are checked with Arrow kernels. A block that does not parse as a whole is
-bisected, and its halves parsed anew, until the bad record stands alone; that record, and every record
-whose columns fail a check, is then diagnosed strictly. The fast path only ever accepts: what it accepts
+bisected, and its halves parsed anew, until the bad record stands alone (but for up to three neighbours);
+these, and every record whose columns fail a check, are then diagnosed strictly. The fast path only ever accepts: what it accepts
 the strict reader accepts too, so the verdict does not depend on how records fall into blocks.
 
 Null payloads are read as empty ones. A listener without layout is not judged.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Records and bytes of a block; a longer record is a block of its own.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: A failing part of so many records is not halved any more; each of them is diagnosed strictly.
+LEAF = 4
 EPOCH_FROM, EPOCH_TO = 946684800, 4102444800
 FAMILIES = ("csv", "kv", "json", "delimited")
 #: Listeners whose layouts one pass over the records knows; of more of them there are more passes.
@@ -287,11 +289,11 @@ def strict(layout: Layout, body: str) -> tuple[str | None, list[str | None] | No
 # A parser takes a block whole: it returns the layout's columns, or None if the block as a whole does not parse. None of
 # them tells which record is to blame. A body with a line break of its own never parses here: its rows would shift.
 
-_UNBLANK = r"[^\s=\"\v\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_BARE = _UNBLANK.replace("=", "")
-_CSV_ROW = r'(?:[^",\n]*|"(?:[^"\n]|"")*")(?:,(?:[^",\n]*|"(?:[^"\n]|"")*"))*'
-_KV_ROW = rf'{_UNBLANK}+=(?:"[^"\n]*"|{_BARE}*)(?:[ \t]+{_UNBLANK}+=(?:"[^"\n]*"|{_BARE}*))*'
-_CSV_BLOCK, _KV_BLOCK = (rf"\A{row}(?:\n{row})*\z" for row in (_CSV_ROW, _KV_ROW))
+_CSV_FIELD_FORM = r'(?:"(?:[^"\n]++|"")*+"|[^",\n]*+)'
+_KV_PAIR_FORM = r'[^\s="]++=(?:"[^"\n]*+"|[^\s"]*+)'
+_CSV_ROW = rf"{_CSV_FIELD_FORM}(?:,{_CSV_FIELD_FORM})*+"
+_KV_ROW = rf"{_KV_PAIR_FORM}(?:[ \t]++{_KV_PAIR_FORM})*+"
+_CSV_BLOCK, _KV_BLOCK = (re.compile(rf"{row}(?:\n{row})*+") for row in (_CSV_ROW, _KV_ROW))
 _KV_TOKENS = re.compile(r'([^ \t\n="]+)=(?:"([^"\n]*)"|([^ \t\n"]*))|(\n)')
 
 
@@ -304,14 +306,10 @@ def _joined(bodies: list[str]) -> str | None:
     return None if text.count("\n") != len(bodies) - 1 or "\r" in text or text.startswith("\ufeff") else text
 
 
-def _in_form(pattern: str, text: str) -> bool:
-    return pc.match_substring_regex(pa.array([text], pa.large_string()), pattern)[0].as_py()
-
-
 def _parse_csv(layout: Layout, bodies: list[str]) -> list[pa.Array] | None:
     """Arrow's reader splits the block, given that its quoting is in form from end to end."""
     text = _joined(bodies)
-    if text is None or ('"' in text and not _in_form(_CSV_BLOCK, text)):
+    if text is None or ('"' in text and not _CSV_BLOCK.fullmatch(text)):
         return None
     raw, names = text.encode(), [str(i) for i in range(len(layout.fields))]
     try:
@@ -339,7 +337,7 @@ def _parse_delimited(layout: Layout, bodies: list[str]) -> list[pa.Array] | None
 def _parse_kv(layout: Layout, bodies: list[str]) -> list[pa.Array] | None:
     """One scan of the block for tokens, which are laid out as columns by key and row."""
     text = _joined(bodies)
-    if text is None or not _in_form(_KV_BLOCK, text):
+    if text is None or not _KV_BLOCK.fullmatch(text):
         return None
     keys, quoted, bare, ends = zip(*_KV_TOKENS.findall(text))
     coded = pa.array(keys, pa.string()).dictionary_encode()
@@ -387,18 +385,18 @@ PARSERS = {"csv": _parse_csv, "delimited": _parse_delimited, "kv": _parse_kv, "j
 
 
 def bisect(layout: Layout, bodies: list[str]) -> tuple[list[int], list[pa.Array], list[int]]:
-    """(positions that parse, their columns, positions that do not).
+    """(positions that parse, their columns, positions to be diagnosed).
 
     The block goes to its parser whole. What fails is halved, and the halves are parsed anew, until the record that
-    breaks its block stands alone."""
+    breaks its block stands alone but for its next neighbours."""
     parse, parts, good, bad, pending = PARSERS[layout.family], [], [], [], [(0, len(bodies))]
     while pending:
         start, end = pending.pop()
         if (columns := parse(layout, bodies[start:end])) is not None:
             parts.append(columns)
             good += range(start, end)
-        elif end - start == 1:
-            bad.append(start)
+        elif end - start <= LEAF:
+            bad += range(start, end)
         else:
             middle = (start + end) // 2
             pending += [(middle, end), (start, middle)]
@@ -481,11 +479,12 @@ def _body(payload: bytes | None, header: re.Pattern) -> str:
 
 def _blocks(batch: pa.RecordBatch, layouts: dict[str, Layout]) -> Iterator[tuple[Layout, list[int], list[str]]]:
     """The batch's rows by grammar, in blocks, with their bodies."""
-    by_grammar: dict[Layout, list[int]] = {}
+    by_grammar: dict[int, tuple[Layout, list[int]]] = {}
     for i, listener in enumerate(batch.column("listener").to_pylist()):
-        by_grammar.setdefault(layouts[listener], []).append(i)
+        layout = layouts[listener]
+        by_grammar.setdefault(id(layout), (layout, []))[1].append(i)
     payloads = batch.column("payload")
-    for layout, rows in by_grammar.items():
+    for layout, rows in by_grammar.values():
         header = re.compile(layout.header)
         part, bodies, size = [], [], 0
         for i in rows:
