@@ -74,7 +74,7 @@ entry 0.5 -> time=stamp " - " component=name " - " level=level " -" tail
 entry 0.5 -> "<" pri=/\d{{1,3}}/ ">" time=bsd " " /\S+/ " " component=/[^\s\[\]:]+/ /(?:\[\d+\])?:/ tail
 entry 0.5 -> level=/[TDINWEF](?=\d{{4}} )/ time=short /\s+\d+ / component=/[^\s:]+/ /:\d+\]/ tail
 entry 0.6 -> pair pairs
-entry 0.6 -> /\{{\s*/ member members
+entry 0.6 -> /\{{/ members
 
 iso 1.0 -> /\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d(?:[.,]\d+)?/ zone
 plain 1.0 -> /\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d(?:[.,]\d+)?/ zone
@@ -86,36 +86,36 @@ epoch 1.0 -> /\d{{10}}(?:\.\d+)?/
 zone 1.0 -> /(?:\s?(?:[Zz]|[+-]\d\d:?\d\d)|(?![\dZz+-]))/
 level 1.0 -> /(?i:{_WORDS})(?![A-Za-z])/
 name 1.0 -> /[A-Za-z0-9_][\w.\/$-]*/
-data 1.0 -> /(?:-|(?:\[(?:[^\]"\\]|"(?:[^"\\]|\\.)*"|\\.)*\])+)/
+data 1.0 -> /(?:-|(?:\[(?:[^\]"\\]++|"(?:[^"\\]++|\\.)*+"|\\.)*+\])+)/
 tail 1.0 -> /(?: |\s*$)/ message=/.*/
 
-pairs 1.0 -> " " pair pairs
+pairs 1.0 -> pair pairs
 pairs 1.0 -> /\s*$/
-pair 2.0 -> /(?:ts|time|timestamp)=/ time=bare
-pair 2.0 -> /(?:level|severity|lvl)=/ level=bare
-pair 2.0 -> /(?:component|logger|name)=/ component=bare
-pair 2.0 -> /(?:msg|message)=/ message=bare
-pair 1.0 -> /[A-Za-z_@][\w.-]*=/ bare
-bare 1.0 -> /(?:"(?:[^"\\]|\\.)*"|[^\s"]*)/
-
-members 1.0 -> /\s*,\s*/ member members
+pair 2.0 -> /(?:\A| )(?:ts|time|timestamp)=/ time=bare
+pair 2.0 -> /(?:\A| )(?:level|severity|lvl)=/ level=bare
+pair 2.0 -> /(?:\A| )(?:component|logger|name)=/ component=bare
+pair 2.0 -> /(?:\A| )(?:msg|message)=/ message=bare
+pair 1.0 -> /(?:\A| )[A-Za-z_@][\w.-]*=/ bare
+bare 1.0 -> /(?:"(?:[^"\\]++|\\.)*+"|[^\s"]*)/
+
+members 1.0 -> member members
 members 1.0 -> /\s*\}}\s*/
-member 2.0 -> /"(?:ts|time|timestamp|@timestamp)"\s*:\s*/ time=scalar
-member 2.0 -> /"(?:level|severity|lvl)"\s*:\s*/ level=string
-member 2.0 -> /"(?:logger|component|name)"\s*:\s*/ component=string
-member 2.0 -> /"(?:msg|message)"\s*:\s*/ message=string
-member 1.0 -> string /\s*:\s*/ scalar
-member 1.0 -> string /\s*:\s*/ nested
-nested 1.0 -> /\{{\s*\}}/
-nested 1.0 -> /\{{\s*/ member members
+member 2.0 -> comma /"(?:ts|time|timestamp|@timestamp)"\s*:\s*/ time=scalar
+member 2.0 -> comma /"(?:level|severity|lvl)"\s*:\s*/ level=string
+member 2.0 -> comma /"(?:logger|component|name)"\s*:\s*/ component=string
+member 2.0 -> comma /"(?:msg|message)"\s*:\s*/ message=string
+member 1.0 -> comma string /\s*:\s*/ scalar
+member 1.0 -> comma string /\s*:\s*/ nested
+comma 1.0 -> /(?:(?<=\{{)\s*|(?<!\{{)\s*,\s*)/
+nested 1.0 -> /\{{/ members
 nested 1.0 -> /\[\s*\]/
 nested 1.0 -> /\[\s*/ value values
 value 1.0 -> scalar
 value 1.0 -> nested
 values 1.0 -> /\s*,\s*/ value values
 values 1.0 -> /\s*\]/
-scalar 1.0 -> /(?:"(?:[^"\\\x00-\x1f]|\\["\\\/bfnrtu])*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)/
-string 1.0 -> /"(?:[^"\\\x00-\x1f]|\\["\\\/bfnrtu])*"/
+scalar 1.0 -> /(?:"(?:[^"\\\x00-\x1f]++|\\["\\\/bfnrtu])*+"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)/
+string 1.0 -> /"(?:[^"\\\x00-\x1f]++|\\["\\\/bfnrtu])*+"/
 """
 
 #: What every header begins with: one look that spares most continuations the parser.

@@ -80,3 +80,11 @@ def test_an_entry_over_many_sections(spark, monkeypatch):
     monkeypatch.setattr(L, "SECTION", 3)
     got = rows(L.entries(lines, texts=True, chunk=2))
     assert [(g[1], g[5].count("\n")) for g in got] == [(0, 39), (40, 0), (41, 18)] and got[0][5].endswith("more 39")
+
+
+def test_long_lines_that_nearly_parse_take_linear_time():
+    import time
+
+    for line in ('a="' + "x" * 200_000, '{"a": "' + "\\\\" * 100_000, "<1>1 2026-03-06T22:03:20.776Z h a - - [" + "x " * 100_000, '{"a": ' + "[1, " * 3000, "a=1 " * 20_000 + '"'):
+        start = time.perf_counter()
+        assert L.header(line) is None and time.perf_counter() - start < 5
