@@ -1,11 +1,14 @@
 """Intermediate tables in the folder that all executors share.
 
 A written table cuts the lineage, survives the loss of an executor, and lets the readers of it prune
-columns and push filters down, which a checkpointed RDD does not.
+columns and push filters down, which a checkpointed RDD does not. A table goes when its last reader is known to
+have run (discard), and the rest with the process that wrote them, since results are read after a query has
+returned.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -25,6 +28,31 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: dict[str, SparkSession] = {}
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read any more. Other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path and _written.pop(path, None) is not None:
+            _remove(table.sparkSession, path)
+
+
+@atexit.register
+def _leave() -> None:
+    for path, spark in _written.items():
+        try:
+            _remove(spark, path)
+        except Exception:  # the JVM has gone before us
+            return
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to a fresh folder of the shared space and return a scan of it."""
     spark = df.sparkSession
@@ -33,4 +61,7 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
