@@ -3,19 +3,24 @@
 A window of `length` characters is shared if it occurs in the text of another document; a character is shared if
 a shared window covers it. Suffixes are entered at anchors only: in every window the half-length strings are
 hashed, and the string with the least hash anchors the window. Equal windows have equal anchors at the same
-offset, so the suffixes at anchors, about one in thirty, lose no shared window.
+offset, so the suffixes at anchors, about one in thirty of prose, lose no shared window. In a periodic stretch
+anchors repeat at every period; those whose reach lies within the stretch are alike, and are one with a count.
 
 Suffixes are partitioned by their prefix, at first the anchored string. A prefix that occurs in one document
 alone can hold nothing shared and goes. Suffixes that agree as far as any window of theirs reaches are one, with
-the least and greatest document that has them, so copies do not multiply. The suffixes of a partition are sorted
-and their common prefix lengths taken: the deep nodes of the partition's suffix tree. Together with the text
-before the anchors, refined character by character, they tell for each offset which suffixes lie in one window
-class, and whether the class has more than one document.
+the least and greatest document that has them, so copies do not multiply. The suffixes of a partition are sorted,
+their common prefix lengths are the depths of the partition's suffix tree, and the tree's nodes are built from
+them. A node deep enough is a string that several anchors begin; each suffix below it is extended ahead of its
+anchor as far as a suffix of another document below the same node agrees. Both together are a maximal repeat, and
+every window inside it that holds the anchor is shared.
 
 Prefixes have variable length: a partition with more than `group` suffixes is split. Its windows are halved by
 offset, and each half has a longer string in common, which becomes its prefix; at the last step the prefix is the
 window itself and its suffixes are one. No partition is capped and none is collected beyond that size.
 
+Long texts are searched in pieces that overlap by a window, and contexts leave a task in batches, so that memory
+does not grow with a text. A document's anchors are gathered in one row, fewer than its characters.
+
 Null, empty and shorter texts share nothing. Repeats within one document do not count, nor do rows with the same
 doc_id among themselves; rows with a null doc_id are one document.
 """
@@ -29,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.storage import materialize
+from logloom.storage import discard, materialize
 
 LENGTH = 120
 #: Suffixes of one partition that a task takes at once; some 750 bytes each.
 GROUP = 20_000
+#: Characters of a text that are searched at once, and of contexts that leave a task in one batch.
+PIECE, BATCH = 1 << 20, 1 << 22
 NO_ID = -(2**63)
 
 # --- anchors --------------------------------------------------------------------------------------
@@ -96,32 +103,70 @@ def anchors_of(texts: list[str], length: int) -> tuple[np.ndarray, np.ndarray, n
     return text, found - starts[text], hashes[found].view(np.int64)
 
 
-def _batches(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about `most` characters; a longer text is a range of its own."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+def _pieces(texts: list[str], length: int, piece: int) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(texts or parts of them, which text each is of, where in it it begins), about `piece` characters at a time.
+    Parts of a text overlap so that each of its windows lies in one of them."""
+    parts, owners, offsets, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), piece):
+            part = text[at:at + piece + length - 1]
+            if size and size + len(part) > piece:
+                yield parts, np.array(owners), np.array(offsets)
+                parts, owners, offsets, size = [], [], [], 0
+            parts.append(part)
+            owners.append(i)
+            offsets.append(at)
+            size += len(part)
+    if parts:
+        yield parts, np.array(owners), np.array(offsets)
+
+
+def folded(text: np.ndarray, position: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(text, position, hash, more, step): anchors of a periodic stretch that lie `length` from both its ends are one
+    row, the first of them, with the number of those that follow at the same step.
+
+    Anchors with one hash at a constant step shorter than the anchored string tell a period, and what an anchor's
+    windows reach is the same for all of them but near the ends of the stretch."""
+    n = len(text)
+    if n < 2:
+        return text, position, hashes, np.zeros(n, np.int64), np.zeros(n, np.int64)
+    gap = np.diff(position)
+    alike = (text[1:] == text[:-1]) & (hashes[1:] == hashes[:-1]) & (gap <= length // 2)
+    # a stretch: neighbours alike, at the step of the pair before
+    goes_on = alike.copy()
+    goes_on[1:] &= ~alike[:-1] | (gap[1:] == gap[:-1])
+    edge = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+    first, last = edge, np.append(edge[1:], n) - 1
+    low, high = np.repeat(position[first], last - first + 1), np.repeat(position[last], last - first + 1)
+    inner = (position - low >= length) & (high - position >= length)
+    head = inner & ~np.concatenate([[False], inner[:-1] & goes_on])
+    begins = np.flatnonzero(head)
+    step = np.zeros(n, np.int64)
+    step[1:] = gap
+    run = np.cumsum(head) - 1
+    more = np.bincount(run[inner], minlength=len(begins)) - 1 if len(begins) else np.zeros(0, np.int64)
+    kept = np.flatnonzero(~inner | head)
+    counts = np.zeros(n, np.int64)
+    counts[begins] = more
+    return text[kept], position[kept], hashes[kept], counts[kept], np.where(counts > 0, step, 0)[kept]
 
 
 def anchors(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, pos, prefix: each anchored suffix by the hash of its first half-length characters. No shuffle."""
+    """doc, pos, prefix, more, step: each anchored suffix by the hash of its first half-length characters, those alike
+    within a periodic stretch as one. No shuffle."""
     rows = _named(documents).where(F.char_length("text") >= length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, docs = b.column("text").to_pylist(), b.column("doc").to_numpy(zero_copy_only=False)
-            for start, end in _batches(texts):
-                text, position, hashes = anchors_of(texts[start:end], length)
+            for parts, owners, offsets in _pieces(texts, length, PIECE):
+                part, position, hashes, more, step = folded(*anchors_of(parts, length), length)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs[start:end][text]), pa.array(position.astype(np.int32)), pa.array(hashes)], ["doc", "pos", "prefix"]
+                    [pa.array(docs[owners[part]]), *(pa.array(x.astype(np.int32)) for x in (position + offsets[part],)), pa.array(hashes),
+                     pa.array(more.astype(np.int32)), pa.array(step.astype(np.int32))], ["doc", "pos", "prefix", "more", "step"],
                 )
 
-    return rows.mapInArrow(run, "doc bigint, pos int, prefix bigint")
+    return rows.mapInArrow(run, "doc bigint, pos int, prefix bigint, more int, step int")
 
 
 def _named(documents: DataFrame) -> DataFrame:
@@ -129,33 +174,35 @@ def _named(documents: DataFrame) -> DataFrame:
 
 
 def suffixes(documents: DataFrame, found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc, pos, prefix, before, context: the anchored suffixes whose prefix occurs in several documents, with the
-    text that their windows can reach: `before` characters ahead of the anchor and up to `length` from it."""
+    """doc, pos, prefix, more, step, before, context: the anchored suffixes whose prefix occurs in several documents, with
+    the text that their windows can reach: `before` characters ahead of the anchor and up to `length` from it."""
     reach = length - length // 2
     several = found.groupBy("prefix").agg(F.min("doc").alias("a"), F.max("doc").alias("z")).where("a < z").select("prefix")
-    places = found.join(several, "prefix").groupBy("doc").agg(F.collect_list(F.struct("pos", "prefix")).alias("places"))
-    rows = _named(documents).join(places, "doc")
+    places = found.join(several, "prefix").groupBy("doc").agg(F.collect_list(F.struct("pos", "prefix", "more", "step")).alias("places"))
+    rows = _named(documents).join(places, "doc").where("text IS NOT NULL")
+    kinds = {"doc": pa.int64(), "pos": pa.int32(), "prefix": pa.int64(), "more": pa.int32(), "step": pa.int32(), "before": pa.int32(), "context": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for b in batches:
-            docs, pos, prefix, before, context = [], [], [], [], []
-            for doc, text, places in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "places"))):
-                for place in places:
-                    p = place["pos"]
-                    if p >= len(text or ""):
-                        continue
-                    start = max(0, p - reach)
-                    docs.append(doc)
-                    pos.append(p)
-                    prefix.append(place["prefix"])
-                    before.append(p - start)
-                    context.append(text[start:p + length])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(pos, pa.int32()), pa.array(prefix, pa.int64()), pa.array(before, pa.int32()), pa.array(context, pa.string())],
-                ["doc", "pos", "prefix", "before", "context"],
-            )
-
-    return rows.select("doc", "text", "places").mapInArrow(run, "doc bigint, pos int, prefix bigint, before int, context string")
+            lists = b.column("places")
+            for i, (doc, text) in enumerate(zip(b.column("doc").to_pylist(), b.column("text").to_pylist())):
+                place = lists[i].values.flatten()
+                for p, prefix, more, step in zip(*(x.to_pylist() for x in place)):
+                    if p < len(text):
+                        start = max(0, p - reach)
+                        held.append((doc, p, prefix, more, step, p - start, text[start:p + length]))
+                    if len(held) * (reach + length) >= BATCH:
+                        yield told(held)
+                        held = []
+        if held:
+            yield told(held)
+
+    def told(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], list(kinds))
+
+    schema = "doc bigint, pos int, prefix bigint, more int, step int, before int, context string"
+    return rows.select("doc", "text", "places").mapInArrow(run, schema)
 
 
 # --- a partition's tree ---------------------------------------------------------------------------
@@ -176,6 +223,36 @@ def _codes(contexts: list[str], before: np.ndarray, left: int, right: int) -> tu
     return ahead, after
 
 
+class Tree:
+    """The deep inner nodes of the suffix trees of sorted partitions: string depth, first and last suffix below, and
+    height among the deep nodes (those of one height have no suffix in common).
+
+    common: common prefix length of each suffix and the one before, -1 between trees."""
+
+    def __init__(self, common: np.ndarray, least_depth: int):
+        nodes: list[tuple[int, int, int, int]] = []
+        way: list[list[int]] = []  # depth, first suffix and height of the nodes on the way to the last suffix
+        for at, depth in enumerate([*common.tolist(), -1]):
+            first, height = at - 1, 0
+            while way and way[-1][0] > depth:
+                closed, first, own = way.pop()
+                nodes.append((closed, first, at - 1, max(own, height)))
+                height = max(own, height) + 1
+            if way and way[-1][0] == depth:
+                way[-1][2] = max(way[-1][2], height)
+            elif depth >= least_depth:
+                way.append([depth, first, height])
+        table = np.array(nodes, np.int64).reshape(-1, 4)
+        self.depth, self.first, self.last, self.height = table.T
+
+
+def _nearest(adjacent: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """For each suffix of a sorted list what it has in common with the nearest before it of another document: the least of
+    the adjacent ones on the way. adjacent: with the one before, -1 at a node's first; same: of the same document as it."""
+    run = np.cumsum(~same)
+    return np.minimum.accumulate(adjacent - run * 1000) + run * 1000
+
+
 def shared_offsets(
     group: np.ndarray, contexts: list[str], before: np.ndarray, first: np.ndarray, last: np.ndarray, low: int, high: int, length: int
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -184,41 +261,55 @@ def shared_offsets(
     Rows come sorted by group and suffix. first and last: the least and greatest document of each row."""
     n = len(contexts)
     ahead, after = _codes(contexts, before, high, length - low)
-    right = np.array([len(c) for c in contexts], np.int64) - before
-    same_group = np.concatenate([[False], group[1:] == group[:-1]])
-    agree = after[1:] == after[:-1]
-    # common prefix lengths of neighbours in the sorted order: the depths of the tree's inner nodes
-    common = np.concatenate([[0], np.where(agree.all(1), agree.shape[1], agree.argmin(1))])
-    common[~same_group] = -1
+    right = np.minimum(np.array([len(c) for c in contexts], np.int64) - before, length - low)
+    room = np.minimum(before, high)
+    agree = (after[1:] == after[:-1]) & (after[1:] > 0)
+    common = np.concatenate([[-1], np.where(agree.all(1), agree.shape[1], agree.argmin(1))])
+    common[np.concatenate([[True], group[1:] != group[:-1]])] = -1
     least, most = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    behind = np.cumsum(~same_group)  # classes by the text ahead of the anchor, at first the groups
-    for offset in range(high + 1):
-        if offset:
-            behind = np.unique(behind * (1 << 21) + ahead[:, offset - 1], return_inverse=True)[1]
-        if offset < low:
-            continue
-        depth = length - offset
-        ok = np.flatnonzero((before >= offset) & (right >= depth))
-        if len(ok) == 0:
-            continue
-        node = np.cumsum(common < depth)  # suffixes below one node at this depth or deeper
-        key = behind[ok] * (n + 1) + node[ok]
-        order = np.argsort(key, kind="stable")
-        rows, key = ok[order], key[order]
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        several = np.minimum.reduceat(first[rows], edge) < np.maximum.reduceat(last[rows], edge)
-        hit = rows[np.repeat(several, np.diff(np.append(edge, len(rows))))]
-        least[hit] = np.where(least[hit] < 0, offset, least[hit])
-        most[hit] = offset
+
+    def repeats(rows: np.ndarray, depth: np.ndarray, extent: np.ndarray) -> None:
+        """Windows of the repeats that begin `extent` ahead of the anchors and end `depth` behind them."""
+        fewest, largest = np.maximum(low, length - depth), np.minimum(extent, high)
+        ok = fewest <= largest
+        rows, fewest, largest = rows[ok], fewest[ok], largest[ok]
+        least[rows] = np.where((least[rows] < 0) | (fewest < least[rows]), fewest, least[rows])
+        most[rows] = np.maximum(most[rows], largest)
+
+    # a leaf that stands for several documents is a repeat as far as it reaches
+    shared = np.flatnonzero(first < last)
+    repeats(shared, right[shared], room[shared])
+    tree = Tree(common, length - high)
+    order_ahead = np.zeros(n, np.int64)
+    if high:
+        order_ahead[np.lexsort(ahead.T[::-1])] = np.arange(n)
+    for height in range(int(tree.height.max()) + 1 if len(tree.height) else 0):
+        nodes = np.flatnonzero(tree.height == height)
+        sizes = tree.last[nodes] - tree.first[nodes] + 1
+        node = np.repeat(np.arange(len(nodes)), sizes)
+        rows = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(tree.first[nodes], sizes)
+        order = np.lexsort((order_ahead[rows], node))
+        rows, node = rows[order], node[order]
+        here, there = rows[1:], rows[:-1]
+        alike = (ahead[here] == ahead[there]) & (ahead[here] > 0)
+        adjacent = np.where(alike.all(1), alike.shape[1], alike.argmin(1)) if alike.shape[1] else np.zeros(len(here), np.int64)
+        edge = node[1:] != node[:-1]
+        one = first[rows] == last[rows]
+        same = one[1:] & one[:-1] & (first[here] == first[there]) & ~edge
+        adjacent = np.where(edge, -1, adjacent)
+        up = _nearest(np.concatenate([[-1], adjacent]), np.concatenate([[False], same]))
+        down = _nearest(np.concatenate([[-1], adjacent[::-1]]), np.concatenate([[False], same[::-1]]))[::-1]
+        extent = np.minimum(np.maximum(up, down), room[rows])
+        told = np.flatnonzero(extent >= 0)
+        repeats(rows[told], tree.depth[nodes][node[told]], extent[told])
     return least, most
 
 
 def _resolved(rows: DataFrame, length: int, group: int) -> DataFrame:
     """low, high, prefix, id, least, most of the suffixes that have a shared window. One partition at a time."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         rows.withColumn("suffix", F.expr("substring(context, before + 1)"))
-        .repartition(n, "low", "high", "prefix")
+        .repartition("low", "high", "prefix")
         .sortWithinPartitions("low", "high", "prefix", "suffix")
         .select("low", "high", "prefix", "id", "before", "context", "a", "z")
     )
@@ -292,14 +383,15 @@ def shared_spans(documents: DataFrame, length: int = LENGTH, group: int = GROUP)
     members = materialize(
         suffixes(documents, found, length).withColumn("id", F.xxhash64("before", "context")), "span-suffixes"
     )
+    discard(found)
     distinct = materialize(
         _collapsed(members.select(
             F.lit(0).alias("low"), F.lit(reach).alias("high"), "prefix", "before", "context", F.col("doc").alias("a"), F.col("doc").alias("z")
         )), "span-contexts",
     )
     spans = _spans(distinct, length, group)
-    windows = members.select("doc", "pos", "prefix", "id").join(spans, ["prefix", "id"]).select(
-        "doc", (F.col("pos") - F.col("most")).alias("span_from"), (F.col("pos") - F.col("least") + length).alias("span_to")
+    windows = members.select("doc", "pos", "prefix", "more", "step", "id").join(spans, ["prefix", "id"]).select(
+        "doc", (F.col("pos") - F.col("most")).alias("span_from"), (F.col("pos") + F.col("more") * F.col("step") - F.col("least") + length).alias("span_to")
     )
     return _merged(windows)
 

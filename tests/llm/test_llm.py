@@ -2,6 +2,7 @@ import base64
 import random
 
 import public_tokenizers
+import numpy as np
 import pytest
 import tiktoken
 from brute_spans import shared
@@ -102,3 +103,33 @@ def test_spans_of_null_ids_and_parts(spark):
     assert {(r.doc_id, r.span_from, r.span_to) for r in spans.shared_spans(df, 12).collect()} == {(None, 0, 14), (1, 2, 16)}
     got = {r.doc_id: (r.n_chars, r.shared_chars) for r in spans.shared_parts(df, spans.shared_spans(df, 12)).collect()}
     assert got == {None: (16, 14), 1: (16, 14)}
+
+
+def test_periodic_and_long_texts(spark, monkeypatch):
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    row = "| 12 | ab | 7 |\n"
+    docs = [(0, "a" * 700), (1, noise(50) + "a" * 300 + noise(50)), (2, "ab" * 400), (3, noise(30) + "ab" * 100 + "b" + "ab" * 50), (4, "b" + "ab" * 45)]
+    docs += [(5, row * 60), (6, noise(9) + row * 20 + noise(40)), (7, "| 13 | ab | 7 |\n" * 9 + row * 9), (8, "a" * 11)]
+    docs += [(9, noise(5000)), (10, None)]
+    docs += [(11, noise(400) + docs[9][1][1000:2300] + noise(10)), (12, docs[9][1][1010:1025] + "!" + docs[9][1][2200:])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = shared(docs, 12)
+    assert found(df) == want and found(df, group=3) == want
+    monkeypatch.setattr(spans, "PIECE", 100)
+    monkeypatch.setattr(spans, "BATCH", 50)
+    assert found(df) == want
+
+
+def test_anchors_of_a_period_are_few(spark):
+    long = spans.anchors(spark.createDataFrame([(1, "a" * 200_000), (2, "xyz, " * 40_000)], "doc_id bigint, text string"))
+    rows = long.collect()
+    assert len(rows) < 700 and sum(r.more for r in rows) > 200_000
+
+
+def test_tree_of_sorted_suffixes():
+    words = sorted(["banana", "bananas", "band", "ban", "can", "cab", "cabs"])
+    common = np.array([-1] + [next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(words, words[1:])])
+    tree = spans.Tree(common, 2)
+    got = {(d, tuple(words[f:l + 1]), h) for d, f, l, h in zip(tree.depth.tolist(), tree.first, tree.last, tree.height.tolist())}
+    assert got == {(3, ("ban", "banana", "bananas", "band"), 1), (6, ("banana", "bananas"), 0), (2, ("cab", "cabs", "can"), 1), (3, ("cab", "cabs"), 0)}
