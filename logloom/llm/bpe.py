@@ -20,7 +20,8 @@ from pathlib import Path
 import ahocorasick
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: how the public vocabulary splits a text into pieces that merges do not cross.
@@ -187,13 +188,30 @@ def encoder(path: str) -> Encoder:
     return Encoder({base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())})
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def _send(spark: SparkSession, path: str) -> None:
+    """Hand the vocabulary to executors on machines that do not have it."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
+
+
+def _here(path: str) -> str:
+    """The vocabulary on this machine: at its own path, or as it was sent."""
+    return path if Path(path).exists() else SparkFiles.get(Path(path).name)
+
+
 def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """key, ids: the whole corpus as token ids. No shuffle; the vocabulary is read from its path on each worker."""
+    """key, ids: the whole corpus as token ids. No shuffle; the vocabulary goes to the executors as a file."""
     path = vocabulary or default_vocabulary()
+    _send(documents.sparkSession, path)
     chosen = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(_here(path)).encode
         for b in batches:
             texts = b.column("text")
             for at in range(0, max(1, b.num_rows), 1024):
@@ -207,11 +225,12 @@ def encoded(documents: DataFrame, key: str = "doc_id", text: str = "text", vocab
 def with_token_counts(rows: DataFrame, text: str, vocabulary: str | None = None) -> DataFrame:
     """The rows with n_tokens in place of the text column."""
     path = vocabulary or default_vocabulary()
+    _send(rows.sparkSession, path)
     kept = [c for c in rows.columns if c != text]
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(_here(path)).encode
         for b in batches:
             counts = [len(encode(t)) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(counts, pa.int64())], [*kept, "n_tokens"])

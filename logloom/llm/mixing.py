@@ -4,7 +4,8 @@ Every document has a uniform hash. Of a source, the documents whose hash lies be
 more than the others, so two numbers for each source describe the mixture, and it is applied as a filter,
 without sorting. Thresholds come from histograms: tokens are summed by source and hash bucket, the bucket in
 which the running sum reaches the budget is found, and only the documents of that bucket are looked at again by
-the next bits of the hash, until the hash is used up. A larger budget always takes a superset.
+the next bits of the hash, until the hash is used up. A larger budget always takes a superset. Goals are a table, of
+as many sources as there are; the driver sees the number of all tokens and nothing else.
 
 A source's budget is its weight times the tokens of all texts. It is met with as many whole rounds over the
 source as fit, and a part of one more round; max_repeats bounds the rounds. Of the two cuts around the budget
@@ -16,31 +17,15 @@ tokens: they are part of whole rounds and of the part below the threshold as any
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.llm.bpe import with_token_counts
-from logloom.storage import materialize
+from logloom.storage import discard, materialize
 
 #: Bits of the hash for each round of refinement.
 LEVELS = (16, 16, 16, 14)
 BITS = sum(LEVELS)
-#: Targets are configuration; more rows than this are refused rather than brought to the driver.
-TARGET_LIMIT = 100_000
-
-
-@dataclass
-class Goal:
-    source: str
-    weight: float
-    max_repeats: int
-    budget: float = 0.0
-    available: int = 0
-    rounds: int = 0
-    threshold: int = 0  # hashes below it are taken once more
-    need: float = 0.0  # tokens still to be found at or above the threshold
 
 
 def counted(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -50,66 +35,56 @@ def counted(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return materialize(with_token_counts(rows, "body", vocabulary), "mix-tokens")
 
 
-def _goals(targets: DataFrame) -> dict[str, Goal]:
-    rows = targets.where(F.col("source").isNotNull()).select("source", "weight", "max_repeats").limit(TARGET_LIMIT + 1).collect()
-    if len(rows) > TARGET_LIMIT:
-        raise ValueError(f"more than {TARGET_LIMIT} targets")
-    named: dict[str, tuple[float, int]] = {}
-    for r in rows:
-        weight = r.weight if r.weight is not None and r.weight > 0 else 0.0
-        repeats = 1 if r.max_repeats is None else max(0, r.max_repeats)
-        named[r.source] = max(named.get(r.source, (0.0, 0)), (weight, repeats))
-    return {s: Goal(s, *found) for s, found in named.items()}
-
-
-def plan(rows: DataFrame, targets: DataFrame) -> tuple[list[Goal], int]:
-    """A goal for each target source, and the tokens of all texts. The driver sees a few numbers a source."""
-    goals = _goals(targets)
-    of_target = F.when(F.col("source").isin(sorted(goals)), F.col("source")) if goals else F.lit(None).cast("string")
-    # sources without target fall together, so what comes back has at most a row more than the targets
-    sizes = {r.s: r.n or 0 for r in rows.groupBy(of_target.alias("s")).agg(F.sum("n_tokens").alias("n")).collect()}
-    total = sum(sizes.values())
-    open_ = []
-    for goal in goals.values():
-        goal.budget, goal.available = goal.weight * total, sizes.get(goal.source, 0)
-        if goal.available:
-            goal.rounds = min(goal.max_repeats, int(goal.budget // goal.available))
-            goal.need = goal.budget - goal.rounds * goal.available
-            if goal.rounds < goal.max_repeats and goal.need > 0:
-                open_.append(goal)
+def goals_of(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
+    """A row for each target source (source, weight, max_repeats, available, budget, rounds, threshold, need, open), and the
+    tokens of all texts. Hashes below the threshold are taken once more than `rounds`; need: tokens still to be found
+    at or above it."""
+    named = targets.where("source IS NOT NULL").select(
+        "source", F.struct(F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(0.0).alias("w"), F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0)).alias("r")).alias("goal")
+    ).groupBy("source").agg(F.max("goal").alias("goal"))
+    sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    total = rows.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    known = named.join(sizes, "source", "left").select(
+        "source", F.col("goal.w").alias("weight"), F.col("goal.r").cast("int").alias("max_repeats"), F.coalesce("n", F.lit(0)).cast("bigint").alias("available")
+    ).withColumn("budget", F.col("weight") * float(total))
+    whole = F.coalesce(F.least(F.col("max_repeats"), F.floor(F.col("budget") / F.nullif("available", F.lit(0)))), F.lit(0)).cast("int")
+    goals = known.withColumn("rounds", whole).withColumn("threshold", F.lit(0).cast("bigint")).withColumn(
+        "need", F.when(F.col("available") > 0, F.greatest(F.col("budget") - F.col("rounds") * F.col("available"), F.lit(0.0))).otherwise(0.0)
+    ).withColumn("open", (F.col("rounds") < F.col("max_repeats")) & (F.col("need") > 0))
+    return materialize(goals, "mix-goals"), total
+
+
+def plan(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame, int]:
+    goals, total = goals_of(rows, targets)
     left = BITS
     for bits in LEVELS:
         left -= bits
-        if open_:
-            _refine(rows, open_, bits, left)
-    return list(goals.values()), total
-
-
-def _refine(rows: DataFrame, open_: list[Goal], bits: int, left: int) -> None:
-    """Move each goal's threshold to the start of the bucket in which its budget is reached."""
-    spark = rows.sparkSession
-    bounds = spark.createDataFrame([(g.source, g.threshold, g.need) for g in open_], "source string, low bigint, need double")
-    inside = rows.join(bounds, "source").where(F.col("hash") >= F.col("low")).where(
-        F.shiftrightunsigned(F.col("hash") - F.col("low"), left + bits) == 0
-    )
-    sums = inside.groupBy("source", "need", F.shiftright(F.col("hash") - F.col("low"), left).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
+        refined = materialize(_refined(rows, goals, bits, left), "mix-goals")
+        discard(goals)
+        goals = refined
+    return goals, total
+
+
+def _refined(rows: DataFrame, goals: DataFrame, bits: int, left: int) -> DataFrame:
+    """Each open goal's threshold moved to the start of the bucket in which its budget is reached; at the last bits, behind
+    that bucket if this is nearer to the budget."""
+    bounds = goals.where("open").select("source", "threshold", "need")
+    above = F.col("hash") - F.col("threshold")
+    inside = rows.join(bounds, "source").where(above >= 0).where(F.shiftrightunsigned(above, left + bits) == 0)
+    sums = inside.groupBy("source", "need", F.shiftright(above, left).alias("bucket")).agg(F.sum("n_tokens").alias("n"))
     # a source has at most 2^bits buckets, however many documents
     running = F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     hit = (
         sums.withColumn("upto", running).where(F.col("upto") >= F.col("need"))
         .groupBy("source").agg(F.min_by(F.struct("bucket", "upto", "n"), "bucket").alias("at"))
     )
-    found = {r.source: r["at"] for r in hit.collect()}
-    for goal in open_:
-        at = found.get(goal.source)
-        if at is None:
-            continue
-        before = at.upto - at.n
-        goal.threshold += at.bucket << left
-        goal.need -= before
-        if left == 0 and at.n - goal.need < goal.need:
-            goal.threshold += 1
-            goal.need -= at.n
+    found, need = F.col("at").isNotNull(), F.col("need") - (F.col("at.upto") - F.col("at.n"))
+    behind = found & F.lit(left == 0) & (F.col("at.n") - need < need)
+    return goals.join(hit, "source", "left").select(
+        "source", "weight", "max_repeats", "available", "budget", "rounds",
+        (F.col("threshold") + F.when(found, F.shiftleft(F.col("at.bucket"), left)).otherwise(0) + F.when(behind, 1).otherwise(0)).alias("threshold"),
+        F.when(behind, need - F.col("at.n")).when(found, need).otherwise(F.col("need")).alias("need"), "open",
+    )
 
 
 def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -119,10 +94,9 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str | None = Non
     return _applied(rows, goals)
 
 
-def _applied(rows: DataFrame, goals: list[Goal]) -> DataFrame:
-    spark = rows.sparkSession
-    cuts = spark.createDataFrame([(g.source, g.rounds, g.threshold) for g in goals], "source string, rounds int, threshold bigint")
+def _applied(rows: DataFrame, goals: DataFrame) -> DataFrame:
     copies = F.col("rounds") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+    cuts = goals.select("source", "rounds", "threshold")
     return rows.join(cuts, "source").withColumn("copies", copies).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
@@ -130,11 +104,7 @@ def shares(documents: DataFrame, targets: DataFrame, vocabulary: str | None = No
     """One row for each target: what it should have, what it has and what holds it back."""
     rows = counted(documents, vocabulary)
     goals, total = plan(rows, targets)
-    spark = rows.sparkSession
-    wanted = spark.createDataFrame(
-        [(g.source, g.weight, g.max_repeats, g.available, g.budget) for g in goals],
-        "source string, weight double, max_repeats int, available_tokens bigint, budget_tokens double",
-    )
+    wanted = goals.select("source", "weight", "max_repeats", F.col("available").alias("available_tokens"), F.col("budget").alias("budget_tokens"))
     taken = _applied(rows, goals).groupBy("source").agg(
         F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies")
     )

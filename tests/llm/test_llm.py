@@ -50,6 +50,7 @@ def test_mix_meets_budgets_and_nests(spark, small):
     for r in rows.collect():
         sizes.setdefault(r.source, []).append((r.hash, r.n_tokens))
     taken = {r.source: r.mixed_tokens for r in mixing.shares(docs, targets).collect()}
+    goals = goals.collect()
     for g in goals:
         mine = sorted(sizes.get(g.source, []))
         have = sum(n for _, n in mine)
