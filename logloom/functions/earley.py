@@ -7,7 +7,9 @@ scoring is kept (of equal ones the first found, rules being tried in order).
 
 A terminal matches in one way at a place, so terminals that follow one another are one terminal, each part of it
 atomic: rules are compiled so, and a rule that is the only one of its name and has terminals alone is put where
-its name stands. What is left to the chart are the places where rules are chosen.
+its name stands. What is left to the chart are the places where rules are chosen; there only the rules are looked
+at whose first character can be the next one. Alternatives of the start that are bound to score less than a parse
+that has been found are not tried.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from re import _constants as _ops, _parser
 
 _RULE = re.compile(r"(\w+)\s+([0-9.]+)\s*->\s*(.*)")
 _SYMBOL = re.compile(r"""(?:(\w+)=)?(?:"((?:[^"\\]|\\.)*)"|/((?:[^/\\]|\\.)*)/|(\w+))(?=\s|$)""")
@@ -34,6 +37,7 @@ class Terminal:
     match: object
     captures: tuple[tuple[str, int], ...]
     parts: tuple[object, ...]
+    first: frozenset[int] | None  # None where it can be empty
 
     def reach(self, text: str, position: int) -> int:
         """How far the terminals one after the other come."""
@@ -56,6 +60,51 @@ class State:
     capture: str | None
 
 
+#: An item is one number: its state, and behind so many bits the place where its rule began.
+_BITS = 40
+_PLACE = (1 << _BITS) - 1
+
+_EVERY = frozenset(range(128))
+_REPEATS = (_ops.MAX_REPEAT, _ops.MIN_REPEAT, _ops.POSSESSIVE_REPEAT)
+
+
+def _first(tree) -> tuple[frozenset[int], bool]:
+    """ASCII characters that a match of a parsed pattern can begin with, and whether it can be empty. What is not told
+    here counts as any character."""
+    found: frozenset[int] = frozenset()
+    for op, value in tree:
+        if op is _ops.LITERAL:
+            return found | {value, *map(ord, chr(value).swapcase()[:1])}, False
+        if op is _ops.IN:
+            some = set()
+            for kind, item in value:
+                if kind is _ops.LITERAL:
+                    some |= {item, *map(ord, chr(item).swapcase()[:1])}
+                elif kind is _ops.RANGE and item[1] < 128:
+                    some |= {c for k in range(item[0], item[1] + 1) for c in (k, *map(ord, chr(k).swapcase()))}
+                elif kind is _ops.CATEGORY and item is _ops.CATEGORY_DIGIT:
+                    some |= set(range(48, 58))
+                else:
+                    return _EVERY, False
+            return found | some, False
+        if op in (_ops.ASSERT, _ops.ASSERT_NOT, _ops.AT):
+            continue
+        if op is _ops.SUBPATTERN or op is _ops.ATOMIC_GROUP:
+            more, empty = _first(value[-1] if op is _ops.SUBPATTERN else value)
+        elif op is _ops.BRANCH:
+            parts = [_first(p) for p in value[1]]
+            more, empty = frozenset().union(*(p[0] for p in parts)), any(p[1] for p in parts)
+        elif op in _REPEATS:
+            more, empty = _first(value[2])
+            empty = empty or value[0] == 0
+        else:
+            return _EVERY, False
+        found |= more
+        if not empty:
+            return found, False
+    return found, True
+
+
 def _read(text: str) -> list[Rule]:
     rules = []
     for line in filter(None, map(str.strip, text.splitlines())):
@@ -96,6 +145,31 @@ class Grammar:
         self.begins: dict[str, list[int]] = {}  # name -> states that begin its rules
         for name, alternatives in rules.items():
             self.begins[name] = [self._compiled(rule, rules) for rule in alternatives]
+        self.chosen: dict[tuple[str, str], list[int]] = {}
+        bounds = {number: self._most(rule, rules, ()) for number, rule in zip(self.begins[start], rules[start])}
+        #: alternatives of the start whose score is bounded are tried last, and only if they can win
+        self.late = [n for n, most in bounds.items() if most < math.inf]
+        self.early = [n for n in self.begins[start] if n not in self.late]
+        self.bound = max((bounds[n] for n in self.late), default=-math.inf)
+
+    def _most(self, rule: Rule, rules: dict[str, list[Rule]], above: tuple[str, ...]) -> float:
+        """The highest score that a rule can have; infinite where it repeats."""
+        if rule.name in above:
+            return math.inf
+        way = (*above, rule.name)
+        return rule.weight + sum(max(self._most(r, rules, way) for r in rules[name]) for _, pattern, name in rule.symbols if pattern is None)
+
+    def _begins_at(self, name: str, char: str) -> list[int]:
+        """States that begin the rules of a name where the next character (empty at the end) is this one."""
+        key = (name, char if char < "\x80" else "\x80")
+        found = self.chosen.get(key)
+        if found is None:
+            def can(number: int) -> bool:
+                terminal = self.states[number].terminal
+                return terminal is None or terminal.first is None or key[1] == "\x80" or (char != "" and ord(char) in terminal.first)
+
+            found = self.chosen[key] = [n for n in self.begins[name] if can(n)]
+        return found
 
     def _compiled(self, rule: Rule, rules: dict[str, list[Rule]]) -> int:
         begin, weight = len(self.states), rule.weight
@@ -107,7 +181,9 @@ class Grammar:
             if row:
                 pattern = re.compile("".join(row), re.S)
                 captures = tuple((name.split("__")[0], pattern.groupindex[name]) for name in names)
-                made.append((Terminal(pattern.match, captures, tuple(re.compile(p, re.S).match for p in row)), None, None))
+                first, empty = _first(_parser.parse(pattern.pattern, re.S))
+                parts = tuple(re.compile(p, re.S).match for p in row)
+                made.append((Terminal(pattern.match, captures, parts, None if empty else first), None, None))
                 row.clear()
                 names.clear()
 
@@ -148,112 +224,128 @@ class Grammar:
     def parse(self, text: str, trace: bool = False) -> "Parse":
         """The best parse of the whole text, and with trace how far the attempts came that are not loose.
 
-        An item is (state, origin); charts[position] maps it to (score, trail), the trail being the linked list of
+        An item is a state and its rule's origin; charts[position] maps it to (score, trail), the trail being the linked list of
         captures behind its dot. Positions are those that terminals reach. A rule that begins with a terminal enters
         the chart behind it, so what does not match costs one look."""
-        states, begins, loose, end = self.states, self.begins, self.loose, len(text)
-        charts: dict[int, dict[tuple[int, int], tuple]] = {0: {}}
-        waits: dict[int, dict[str, list[tuple[int, int]]]] = {}
+        best, reached = self._parsed(text, self.early, trace) if self.early else (None, 0)
+        if self.late and (best is None or best[0] < self.bound):
+            other, further = self._parsed(text, self.late, trace)
+            if other is not None and (best is None or other[0] > best[0]):
+                best = other
+            reached = max(reached, further)
+        if best is None:
+            return Parse(text, -math.inf, None, reached)
+        spans: dict[str, tuple[int, int]] = {}
+        _collect(best[1], spans)
+        return Parse(text, best[0], spans, reached)
+
+    def _parsed(self, text: str, start: list[int], trace: bool) -> tuple[tuple | None, int]:
+        """(score and trail of the best parse by these alternatives of the start, how far attempts came)."""
+        states, loose, end, chosen = self.states, self.loose, len(text), self.chosen
+        charts: dict[int, dict[int, tuple]] = {0: {}}
+        waits: dict[int, dict[str, list[int]]] = {}
         agenda = [0]
         reached, best = 0, None
         while agenda:
-            position = min(agenda)
+            position = min(agenda) if len(agenda) > 1 else agenda[0]
             agenda.remove(position)
             chart = charts[position]
-            waiting: dict[str, list] = {}
+            waiting: dict[str, list[int]] = {}
             waits[position] = waiting
             finished: dict[str, list] = {}
             queue = list(chart)
-            pending = [self.start] if position == 0 else []
+            pending = [""] if position == 0 else []
+            char = text[position:position + 1]
             while queue or pending:
                 if pending:
-                    # predict a rule at this position
-                    for number in begins[pending.pop()]:
+                    # predict a rule at this position; the start is named by nothing
+                    name = pending.pop()
+                    numbers = (chosen.get((name, char)) or self._begins_at(name, char)) if name else start
+                    for number in numbers:
                         state = states[number]
-                        if state.terminal is None:
-                            item = (number, position)
+                        terminal = state.terminal
+                        if terminal is None:
+                            item = number << _BITS | position
                             if item not in chart:
                                 chart[item] = (state.weight, None)
                                 queue.append(item)
                             continue
-                        m = state.terminal.match(text, position)
+                        m = terminal.match(text, position)
                         if trace and state.name not in loose:
-                            reached = max(reached, state.terminal.reach(text, position))
-                        if not m:
+                            reached = max(reached, terminal.reach(text, position))
+                        if m is None:
                             continue
                         to = m.end()
-                        caps = state.terminal.captures
-                        trail = (None, None, [(n, *m.span(g)) for n, g in caps]) if caps else None
-                        item = (number + 1, position)
+                        trail = (None, None, [(n, *m.span(g)) for n, g in terminal.captures]) if terminal.captures else None
+                        item = number + 1 << _BITS | position
                         target = charts.get(to)
                         if target is None:
                             target = charts[to] = {}
                             agenda.append(to)
-                        if item not in target or state.weight > target[item][0]:
+                        known = target.get(item)
+                        if known is None or state.weight > known[0]:
                             target[item] = (state.weight, trail)
                             if to == position:
                                 queue.append(item)
                     continue
                 item = queue.pop()
-                number, origin = item
                 score, trail = chart[item]
-                state = states[number]
-                if state.awaits is not None:
-                    name = state.awaits
+                state = states[item >> _BITS]
+                name = state.awaits
+                if name is not None:
                     known = waiting.get(name)
                     if known is None:
                         waiting[name] = [item]
                         pending.append(name)
                     elif item not in known:
                         known.append(item)
-                    for done, inside in finished.get(name, ()):
-                        self._advance(chart, queue, item, (score, trail), done, inside, position, position)
+                    if finished:
+                        for done, inside in finished.get(name, ()):
+                            self._advance(chart, queue, item, (score, trail), done, inside, position, position)
                 elif state.terminal is not None:
-                    m = state.terminal.match(text, position)
+                    terminal = state.terminal
+                    m = terminal.match(text, position)
                     if trace and state.name not in loose:
-                        reached = max(reached, state.terminal.reach(text, position))
-                    if not m:
+                        reached = max(reached, terminal.reach(text, position))
+                    if m is None:
                         continue
                     to = m.end()
-                    caps = state.terminal.captures
-                    if caps:
-                        trail = (trail, None, [(n, *m.span(g)) for n, g in caps])
-                    item = (number + 1, origin)
+                    if terminal.captures:
+                        trail = (trail, None, [(n, *m.span(g)) for n, g in terminal.captures])
+                    item += 1 << _BITS
                     target = charts.get(to)
                     if target is None:
                         target = charts[to] = {}
                         agenda.append(to)
-                    if item not in target or score > target[item][0]:
+                    known = target.get(item)
+                    if known is None or score > known[0]:
                         target[item] = (score, trail)
                         if to == position:
                             queue.append(item)
                 else:
-                    name = state.name
-                    if name == self.start and origin == 0 and position == end and (best is None or score > best[0]):
+                    name, origin = state.name, item & _PLACE
+                    if position == end and origin == 0 and name == self.start and (best is None or score > best[0]):
                         best = (score, trail)
                     if origin == position:
                         finished.setdefault(name, []).append((score, trail))
+                    before = charts[origin]
                     for parent in waits[origin].get(name, ()):
-                        self._advance(chart, queue, parent, charts[origin][parent], score, trail, origin, position)
-        if best is None:
-            return Parse(text, -math.inf, None, reached)
-        spans: dict[str, tuple[int, int]] = {}
-        _collect(best[1], spans)
-        return Parse(text, best[0], spans, reached)
+                        self._advance(chart, queue, parent, before[parent], score, trail, origin, position)
+        return best, reached
 
     def _advance(self, chart, queue, parent, parent_state, score, trail, start, position) -> None:
-        number, origin = parent
         parent_score, parent_trail = parent_state
-        name = self.states[number].capture
-        if name:
-            joined = (parent_trail, trail, [(name, start, position)])
-        elif trail:
-            joined = (parent_trail, trail, ())
-        else:
-            joined = parent_trail
-        item, total = (number + 1, origin), parent_score + score
-        if item not in chart or total > chart[item][0]:
-            chart[item] = (total, joined)
+        name = self.states[parent >> _BITS].capture
+        item, total = parent + (1 << _BITS), parent_score + score
+        known = chart.get(item)
+        if known is None or total > known[0]:
+            if name:
+                trail = (parent_trail, trail, [(name, start, position)])
+            elif trail is None:
+                trail = parent_trail
+            elif parent_trail is not None:
+                trail = (parent_trail, trail, ())
+            chart[item] = (total, trail)
             queue.append(item)
 
 

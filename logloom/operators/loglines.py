@@ -73,8 +73,8 @@ entry 0.5 -> time=stamp /\s+\[[^\]]*\]\s+/ level=level /\s+/ component=name /\s+
 entry 0.5 -> time=stamp " - " component=name " - " level=level " -" tail
 entry 0.5 -> "<" pri=/\d{{1,3}}/ ">" time=bsd " " /\S+/ " " component=/[^\s\[\]:]+/ /(?:\[\d+\])?:/ tail
 entry 0.5 -> level=/[TDINWEF](?=\d{{4}} )/ time=short /\s+\d+ / component=/[^\s:]+/ /:\d+\]/ tail
-entry 0.6 -> pair pairs
-entry 0.6 -> /\{{/ members
+entry 0.6 -> pairs /\s*$/
+entry 0.6 -> object /\s*$/
 
 iso 1.0 -> /\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\d(?:[.,]\d+)?/ zone
 plain 1.0 -> /\d{{4}}-\d\d-\d\d \d\d:\d\d:\d\d(?:[.,]\d+)?/ zone
@@ -89,8 +89,8 @@ name 1.0 -> /[A-Za-z0-9_][\w.\/$-]*/
 data 1.0 -> /(?:-|(?:\[(?:[^\]"\\]++|"(?:[^"\\]++|\\.)*+"|\\.)*+\])+)/
 tail 1.0 -> /(?: |\s*$)/ message=/.*/
 
-pairs 1.0 -> pair pairs
-pairs 1.0 -> /\s*$/
+pairs 1.0 -> pairs pair
+pairs 1.0 -> pair
 pair 2.0 -> /(?:\A| )(?:ts|time|timestamp)=/ time=bare
 pair 2.0 -> /(?:\A| )(?:level|severity|lvl)=/ level=bare
 pair 2.0 -> /(?:\A| )(?:component|logger|name)=/ component=bare
@@ -98,22 +98,24 @@ pair 2.0 -> /(?:\A| )(?:msg|message)=/ message=bare
 pair 1.0 -> /(?:\A| )[A-Za-z_@][\w.-]*=/ bare
 bare 1.0 -> /(?:"(?:[^"\\]++|\\.)*+"|[^\s"]*)/
 
-members 1.0 -> member members
-members 1.0 -> /\s*\}}\s*/
+object 1.0 -> /\{{(?!\s*\}})/ members /\s*\}}/
+object 1.0 -> /\{{\s*\}}/
+members 1.0 -> members member
+members 1.0 -> member
 member 2.0 -> comma /"(?:ts|time|timestamp|@timestamp)"\s*:\s*/ time=scalar
 member 2.0 -> comma /"(?:level|severity|lvl)"\s*:\s*/ level=string
 member 2.0 -> comma /"(?:logger|component|name)"\s*:\s*/ component=string
 member 2.0 -> comma /"(?:msg|message)"\s*:\s*/ message=string
 member 1.0 -> comma string /\s*:\s*/ scalar
-member 1.0 -> comma string /\s*:\s*/ nested
+member 1.0 -> comma string /\s*:\s*(?=[\[\{{])/ nested
 comma 1.0 -> /(?:(?<=\{{)\s*|(?<!\{{)\s*,\s*)/
-nested 1.0 -> /\{{/ members
+nested 1.0 -> object
 nested 1.0 -> /\[\s*\]/
-nested 1.0 -> /\[\s*/ value values
+nested 1.0 -> /\[\s*/ values /\s*\]/
 value 1.0 -> scalar
 value 1.0 -> nested
-values 1.0 -> /\s*,\s*/ value values
-values 1.0 -> /\s*\]/
+values 1.0 -> values /\s*,\s*/ value
+values 1.0 -> value
 scalar 1.0 -> /(?:"(?:[^"\\\x00-\x1f]++|\\["\\\/bfnrtu])*+"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null)/
 string 1.0 -> /"(?:[^"\\\x00-\x1f]++|\\["\\\/bfnrtu])*+"/
 """
@@ -318,9 +320,11 @@ def _owners(thin: DataFrame) -> DataFrame:
 
 def entries(lines: DataFrame, texts: bool = False, chunk: int = CHUNK) -> DataFrame:
     """stream_name, line_no, event_ns, log_level, component, message_chars, and message if texts are asked for."""
-    parts = materialize(chunked(lines, texts, chunk), "log-entries")
-    whole = parts.where("kind = 'entry' AND NOT last")
-    owners = _owners(parts.where("kind = 'lead' OR last").select("kind", "stream_name", "chunk", "line_no", "sub"))
+    # what is whole within its chunk is written apart from the one or two rows a chunk that may go on
+    part = F.expr("if(kind = 'entry' AND NOT last, 'whole', 'edge')")
+    written = materialize(chunked(lines, texts, chunk).withColumn("part", part), "log-entries", ["part"])
+    whole, parts = written.where("part = 'whole'"), written.where("part = 'edge'").drop("part")
+    owners = _owners(parts.select("kind", "stream_name", "chunk", "line_no", "sub"))
     owners = owners.withColumnsRenamed({"stream_name": "s", "chunk": "c", "line_no": "at_line", "sub": "at_sub"})
     carried = parts.where("kind = 'lead'").join(owners, F.col("stream_name").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select(
         "stream_name", F.col("at_line").alias("line_no"), F.col("at_sub").alias("sub"), "chunk", "message_chars", "message"
