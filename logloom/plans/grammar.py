@@ -141,7 +141,7 @@ class Step:
         got = _node(value, where, readers)
         named = [k for k in PRIMITIVES if got.get(k) not in (None, False)]
         if len(named) != 1:
-            raise GrammarError(f"{where}: a step must name exactly one of {sorted(PRIMITIVES)}; got {named or 'none'}")
+            raise GrammarError(f"{where}: {', '.join(named) if named else 'no primitive'} named where one of {', '.join(PRIMITIVES)} is wanted")
         if len(got.get("pair_sep") or " ") != 1:
             raise GrammarError(f"{where}.pair_sep: must be one character")
         arguments = {k: v for k, v in got.items() if k not in PRIMITIVES}

@@ -216,7 +216,7 @@ def test_stream_of_hours(spark, tmp_path):
     rows = spark.createDataFrame([(k * 60_000_000_000, k * 60_000_000_000 + (9 * hour if k % 5 == 0 else 0)) for k in range(120)], "event_ns bigint, arrival_ns bigint")
     rows.repartition(2).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = pipelines.hourly(stream).writeStream.format("memory").queryName("hourly").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = pipelines.hourly(stream, expire=False).writeStream.format("memory").queryName("hourly").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
     got = spark.sql("SELECT hour_ns, sum(after - before) AS n, sum(too_late) AS l FROM hourly GROUP BY hour_ns ORDER BY 1").collect()

@@ -54,7 +54,7 @@ def test_templates_as_a_plain_greedy_pass(spark, small):
     odd = spark.createDataFrame([(-3, "a\u00a0b  c\x1cd"), (-2, "a b <*> d"), (-1, "a b c x"), (-4, ""), (-5, "")], "ord bigint, body string")
     lines = induce.bodies(rows).select("ord", "body").unionByName(odd)
     want = greedy(r.body for r in lines.orderBy("ord").collect())
-    assert Counter((r.template, r.n, r.example) for r in induce.templates(lines).collect()) == want
+    assert Counter((r.template, r.n, r.examples[0]) for r in induce.templates(lines).collect()) == want
 
 
 def test_templates_of_every_listener(spark, small):
@@ -63,7 +63,7 @@ def test_templates_of_every_listener(spark, small):
     for r in induce.bodies(rows, "listener").orderBy("ord").collect():
         bodies[r.listener].append(r.body)
     got = entry.queries()["templates_of_lines"](spark, small)
-    assert Counter((r.listener, r.template, r.n, r.example) for r in got.collect()) == Counter({(k, *x): n for k, v in bodies.items() for x, n in greedy(v).items()})
+    assert Counter((r.listener, r.template, r.n, r.examples[0]) for r in got.collect()) == Counter({(k, *x): n for k, v in bodies.items() for x, n in greedy(v).items()})
     assert len(bodies) > 20
 
 
