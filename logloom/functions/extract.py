@@ -140,7 +140,8 @@ def kv_entries(body: E, pair_sep: str | None = None, lower: bool = False, stop:
     def split(token: E) -> E:
         at = F.instr(token, "=")
         key, value = F.substr(token, F.lit(1), at - 1), F.substr(token, at + 1)
-        quoted = value.rlike('(?s)^"[^"]*"$')
+        # a token begins with a quote and ends with another one only if it was matched as quoted
+        quoted = value.startswith('"') & value.endswith('"') & (F.octet_length(value) > 1)
         inner = F.substr(value, F.lit(2), F.char_length(value) - 2)
         return pair(F.lower(key) if lower else key, F.when(quoted, inner).otherwise(value))
 

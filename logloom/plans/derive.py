@@ -109,9 +109,10 @@ def triaged(lines: DataFrame, grammars: list[Grammar], floor: float = FLOOR) ->
 
 @dataclass
 class Leaf:
-    """A value of a document: as a variant for the JSON text, and as text for flat columns."""
+    """A value of a document: as text for flat columns, and for the JSON text as alternatives of different types, of which
+    at most one is present. Types that are known beforehand are written by Spark as they are, without a variant."""
 
-    variant: E
+    values: list[E]
     text: E
 
 
@@ -120,43 +121,52 @@ def _literal(value: Any) -> Leaf:
         import json
 
         body = json.dumps(value)
-        return Leaf(F.parse_json(F.lit(body)), F.lit(body))
-    plain = F.lit(value)
-    as_text = F.lit(str(value).lower() if isinstance(value, bool) else str(value))
-    return Leaf(plain.cast("variant"), as_text)
+        return Leaf([F.parse_json(F.lit(body))], F.lit(body))
+    return Leaf([F.lit(value)], F.lit(str(value).lower() if isinstance(value, bool) else str(value)))
+
+
+def consumed(g: Grammar) -> list[str]:
+    """Fields that an event of the grammar is made of. They are looked up once for each line, into an array `v`."""
+    return list(dict.fromkeys([*g.emit.fields.values(), *(e.source for e in g.emit.enums.values()), *([g.clock.field] if g.clock else [])]))
+
+
+def _value(name: str, g: Grammar) -> E:
+    return F.get("v", F.lit(consumed(g).index(name)))
 
 
 def _field(name: str, g: Grammar) -> Leaf:
     """A field as it was typed. Without a JSON step only declared types and the facility are not text, which is told
     without a look at the row."""
-    value = F.col("f")[name]
-    as_text = value.cast("variant")
+    value = _value(name, g)
     if any(step.kind == "json" for step in g.pipeline):
-        return Leaf(F.when(F.array_contains("t", name), F.try_parse_json(value)).otherwise(as_text), value)
+        typed = F.array_contains("t", name)
+        return Leaf([F.when(~typed, value), F.when(typed, F.try_parse_json(value))], value)
     kind = "int" if name == "log_facility" else g.coerce.get(name, "str")
     if kind == "int":
-        return Leaf(F.coalesce(value.try_cast("bigint").cast("variant"), as_text), value)
+        number = value.try_cast("bigint")
+        return Leaf([number, F.when(number.isNull(), value)], value)
     if kind in ("float", "bool"):
-        return Leaf(F.when(F.array_contains("t", name), F.try_parse_json(value)).otherwise(as_text), value)
-    return Leaf(as_text, value)
+        typed = F.array_contains("t", name)
+        return Leaf([F.when(~typed, value), F.when(typed, F.try_parse_json(value))], value)
+    return Leaf([value], value)
 
 
-def _table(enum) -> E:
-    key = F.lower(text.stripped(F.col("f")[enum.source]))
+def _table(enum, g: Grammar) -> E:
+    key = F.lower(text.stripped(_value(enum.source, g)))
     out = None
     for word, value in enum.table.items():
         out = F.when(key == word, F.lit(value)) if out is None else out.when(key == word, F.lit(value))
     return F.lit(enum.default) if out is None else out.otherwise(F.lit(enum.default))
 
 
-def _mapped_enum(enum) -> Leaf:
-    present = F.col("f")[enum.source].isNotNull()
+def _mapped_enum(enum, g: Grammar) -> Leaf:
+    present = _value(enum.source, g).isNotNull()
     kinds = {type(v) for v in [*enum.table.values(), enum.default]}
     if kinds <= {int}:
-        value = _table(enum)
-        return Leaf(F.when(present, value.cast("variant")), F.when(present, value.cast("string")))
-    value = _table(type(enum)(enum.source, {k: str(v) for k, v in enum.table.items()}, str(enum.default)))
-    return Leaf(F.when(present, value.cast("variant")), F.when(present, value))
+        value = _table(enum, g)
+        return Leaf([F.when(present, value)], F.when(present, value.cast("string")))
+    value = _table(type(enum)(enum.source, {k: str(v) for k, v in enum.table.items()}, str(enum.default)), g)
+    return Leaf([F.when(present, value)], F.when(present, value))
 
 
 def document(g: Grammar) -> dict:
@@ -172,10 +182,10 @@ def document(g: Grammar) -> dict:
             node = node[part]
         before = node.get(parts[-1])
         if isinstance(before, Leaf):
-            leaf = Leaf(F.coalesce(leaf.variant, before.variant), F.coalesce(leaf.text, before.text))
+            leaf = Leaf([*leaf.values, *(F.when(leaf.text.isNull(), v) for v in before.values)], F.coalesce(leaf.text, before.text))
         node[parts[-1]] = leaf
 
-    number = lambda c: Leaf(c.cast("variant"), c.cast("string"))
+    number = lambda c: Leaf([c], c.cast("string"))
     place("class_uid", _literal(g.emit.cls))
     place("category_uid", _literal(g.emit.category))
     place("metadata.version", _literal(OCSF_VERSION))
@@ -189,15 +199,15 @@ def document(g: Grammar) -> dict:
     for path, source in g.emit.fields.items():
         place(path, _field(source, g))
     for path, enum in g.emit.enums.items():
-        place(path, _mapped_enum(enum))
+        place(path, _mapped_enum(enum, g))
         if enum.keep:
             place(enum.keep, _field(enum.source, g))
     timed = F.col("event_ns").isNotNull()
     if g.clock:
-        original = F.when(timed, F.col("f")[g.clock.field])
-        place("metadata.original_time", Leaf(original.cast("variant"), original))
+        original = F.when(timed, _value(g.clock.field, g))
+        place("metadata.original_time", Leaf([original], original))
     fallback = F.when(~timed, F.lit("receipt_fallback"))
-    place("metadata.time_source", Leaf(fallback.cast("variant"), fallback))
+    place("metadata.time_source", Leaf([fallback], fallback))
     root["time"] = number(F.col("time_ms"))
     return root
 
@@ -207,7 +217,7 @@ def _struct(node: dict) -> E:
     parts = []
     for name, child in node.items():
         if isinstance(child, Leaf):
-            parts.append(child.variant.alias(name))
+            parts += [v.alias(name) for v in child.values]
         else:
             parts.append(F.when(_present(child), _struct(child)).alias(name))
     return F.struct(*parts)
@@ -230,6 +240,30 @@ def _dig(root: dict, path: str) -> Leaf | None:
     return node if isinstance(node, Leaf) else None
 
 
+def _kept(g: Grammar) -> list[str]:
+    """Fields that a mapping claims or a grammar passes over."""
+    return sorted({*g.emit.claims, *g.emit.ignore, *([g.clock.field] if g.clock else [])})
+
+
+def _unclaimed(g: Grammar) -> E:
+    kept = _kept(g)
+    return F.map_filter("f", lambda k, v: ~k.isin(*kept)) if kept else F.col("f")
+
+
+def _unmapped(g: Grammar) -> E:
+    """JSON of the residue. Names that can be numbers or truth values are known without a look at the row, but for JSON,
+    whose values bring their types along."""
+    free = [n for n, kind in g.coerce.items() if kind != "str" and n not in _kept(g)]
+    free += ["log_facility"] if any(step.kind == "syslog" for step in g.pipeline) and "log_facility" not in _kept(g) else []
+    if any(step.kind == "json" for step in g.pipeline):
+        own = lambda k, v: F.when(F.array_contains("t", k), F.try_parse_json(v)).otherwise(v.cast("variant"))
+    elif free:
+        own = lambda k, v: F.when(k.isin(*free) & F.array_contains("t", k), F.try_parse_json(v)).otherwise(v.cast("variant"))
+    else:
+        return F.to_json(F.col("residue"))
+    return F.to_json(F.transform_values("residue", own))
+
+
 # --- the plan -------------------------------------------------------------------------------------
 
 def extracted(lines: DataFrame, grammars: list[Grammar]) -> DataFrame:
@@ -274,14 +308,12 @@ def derivation(
         out, logged_ms=F.expr("received_ns DIV 1000000"), processed_ms=now, time_ms=F.expr("coalesce(event_ns, received_ns) DIV 1000000")
     )
     docs = {g.id: document(g) for g in grammars}
-    kept = by_number(grammars, lambda g: extract.texts(*sorted({*g.emit.claims, *g.emit.ignore, *([g.clock.field] if g.clock else [])})), extract.texts())
-    out = with_columns(out, kept=kept)
-    out = with_columns(out, residue=F.map_filter("f", lambda k, v: ~F.array_contains("kept", k)))
+    out = with_columns(out, v=by_number(grammars, lambda g: F.array(*[F.col("f")[n] for n in consumed(g)]) if consumed(g) else None).cast("array<string>"))
+    out = with_columns(out, residue=by_number(grammars, _unclaimed, F.col("f")))
     flat = {
         name: by_number(grammars, lambda g, p=path: leaf.text if (leaf := _dig(docs[g.id], p)) else None).cast("string").try_cast(kind)
         for name, (path, kind) in FLAT.items()
     }
-    typed = F.transform_values("residue", lambda k, v: F.when(F.array_contains("t", k), F.try_parse_json(v)).otherwise(v.cast("variant")))
     shape, floor_text = F.col("shape"), str(floor)
     verdict = (
         F.when(F.col("line") == "", "unclaimed").when(F.col("best").isNull(), "unclaimed").when(F.col("confidence") < floor, "ambiguous")
@@ -303,7 +335,7 @@ def derivation(
         "grammar": F.when(F.col("gi").isNotNull(), F.col("best")), "grammar_version": by_number(grammars, lambda g: F.lit(g.version)).cast("string"),
         "coverage": F.when(size > 0, (size - F.size("residue")) / size).otherwise(0.0), "record_id": F.lower(F.hex("id")),
         "generation": F.lit(generation), **flat,
-        "ocsf": by_number(grammars, lambda g: F.to_json(_struct(docs[g.id]))).cast("string"), "unmapped": F.to_json(typed),
+        "ocsf": by_number(grammars, lambda g: F.to_json(_struct(docs[g.id]))).cast("string"), "unmapped": by_number(grammars, _unmapped, F.to_json(F.col("residue"))),
     })
     out = with_columns(out, detail=detail)
     channel = F.when(F.lit(replay), F.lit(5).cast("tinyint")).otherwise(F.col("env.channel"))
