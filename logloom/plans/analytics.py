@@ -34,7 +34,7 @@ SHARED = {
     "sql_full_join": """SELECT coalesce(c_nationkey, s_nationkey) AS nation, count(c_custkey) AS customers, count(s_suppkey) AS suppliers
         FROM customer FULL JOIN supplier ON c_nationkey = s_nationkey AND c_custkey = s_suppkey GROUP BY 1""",
     "sql_semi_join": """SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""",
-    "sql_anti_join": """SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
+    "sql_anti_join": """SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')""",
     "sql_self_theta": """SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""",
     "sql_rollup": """SELECT n_regionkey, n_nationkey, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey
         GROUP BY ROLLUP (n_regionkey, n_nationkey)""",
@@ -51,7 +51,7 @@ SHARED = {
         FROM customer GROUP BY c_mktsegment""",
     "sql_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "sql_except": "SELECT p_size * 100 AS k FROM part EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000",
     "sql_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "sql_top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "sql_top_k_per_group": """SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k

@@ -56,15 +56,38 @@ def dedupe_seen(spark, d):
     return got.join(first, "id").select(F.lower(F.hex("id")).alias("record_id"), "ord", "seen", "raw_len")
 
 
-@query()
+_TREE = """WITH RECURSIVE leaves AS (
+    SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY seq) - 1 AS place, count(*) OVER (PARTITION BY stratum) AS n,
+           unhex(sha256('\\x00'::BLOB || id)) AS node FROM records),
+  tree AS (
+    SELECT stratum, place, n, node FROM leaves
+    UNION ALL
+    SELECT stratum, place // 2, (any_value(n) + 1) // 2,
+           CASE WHEN max(place) % 2 = 0 THEN any_value(node) ELSE unhex(sha256('\\x01'::BLOB || min_by(node, place) || max_by(node, place))) END
+    FROM tree WHERE n > 1 GROUP BY stratum, place // 2),
+  roots AS (SELECT stratum, lower(hex(node)) AS root FROM tree WHERE n = 1)"""
+
+
+@query(_TREE + """ SELECT r.stratum AS stratum, coalesce(lag(root) OVER (ORDER BY r.stratum), repeat('0', 64)) AS prev_root, root, c.n AS records
+  FROM roots r JOIN (SELECT stratum, count(*) AS n FROM records GROUP BY 1) c USING (stratum)""")
 def segments_sealed(spark, d):
-    return archive.sealed(table(spark, d, "records"))
+    got = archive.sealed(table(spark, d, "records"))
+    return got.select("stratum", *[F.lower(F.hex(c)).alias(c) for c in ("prev_root", "root")], "records")
 
 
-@query("SELECT CAST(NULL AS INTEGER) AS stratum, '' AS kind, '' AS record_id WHERE false")
+@query("""SELECT stratum, 'content_mismatch' AS kind, lower(hex(id)) AS record_id FROM records WHERE seq % 500 = 3
+  UNION ALL SELECT stratum, 'root_mismatch', NULL FROM records WHERE seq = 11
+  UNION ALL SELECT max(stratum), 'chain_break', NULL FROM records""")
 def audit_faults(spark, d):
+    """What an audit finds after payloads were changed, a record was taken out and a segment was unhinged."""
     records = table(spark, d, "records")
-    return archive.faults(records, archive.sealed(records))
+    segments = archive.sealed(records)
+    last = segments.agg(F.max("stratum").alias("last"))
+    unhinged = segments.join(last, segments.stratum == last["last"], "left").withColumn(
+        "prev_root", F.when(F.col("last").isNotNull(), F.lit(b"x" * 32)).otherwise(F.col("prev_root"))
+    ).drop("last")
+    changed = F.when(F.col("seq") % 500 == 3, F.concat("payload", F.lit(b"!"))).otherwise(F.col("payload"))
+    return archive.faults(records.withColumn("payload", changed).where("seq <> 11"), unhinged)
 
 
 @query("SELECT count(*) AS records, count(*) AS intact, 1.0::DOUBLE AS fidelity FROM records")
@@ -105,7 +128,19 @@ def top_peers(spark, d):
     return lines.top_peers(table(spark, d, "records"))
 
 
-@query()
+_BUCKET = """WITH RECURSIVE o AS (
+    SELECT seq, env.peer AS peer, coalesce(env.received_ns, 0) AS came,
+           row_number() OVER (PARTITION BY env.peer ORDER BY coalesce(env.received_ns, 0), seq) AS k FROM records),
+  b AS (
+    SELECT seq, peer, came, k, 19.0::DOUBLE AS tokens, true AS admitted FROM o WHERE k = 1
+    UNION ALL
+    SELECT seq, peer, came, k, CASE WHEN t >= 1 THEN t - 1 ELSE t END, t >= 1 FROM (
+      SELECT o.seq, o.peer, o.came, o.k, least(20.0::DOUBLE, b.tokens + (o.came - b.came) / 1e9::DOUBLE * 0.0005::DOUBLE) AS t
+      FROM b JOIN o ON o.k = b.k + 1 AND o.peer IS NOT DISTINCT FROM b.peer))
+  SELECT seq, peer, admitted FROM b"""
+
+
+@query(_BUCKET)
 def token_bucket(spark, d):
     return lines.rate_limited(table(spark, d, "records"), rate=0.0005, burst=20)
 
@@ -339,6 +374,118 @@ def rendered_round_trip(spark, d):
     )
 
 
+# Every grammar reads orders that were rendered in its vendor's layout; the SQL says what the events are to hold.
+
+_COLUMNS = ("time_ms", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "app", "bytes_total", "bytes_in", "bytes_out", "user_name", "rule", "device", "disposition_id", "severity_id", "unmapped")
+_KINDS = {
+    "time_ms": "BIGINT", "src_port": "INTEGER", "dst_port": "INTEGER", "bytes_total": "BIGINT", "bytes_in": "BIGINT", "bytes_out": "BIGINT",
+    "disposition_id": "INTEGER", "severity_id": "INTEGER",
+}
+_PARTS = {  # parts of a line, as SQL that both engines know
+    "src": "concat('10.0.', o_custkey % 250, '.1')", "dst": "concat('192.0.2.', o_orderkey % 250)", "sp": "(o_custkey % 60000 + 1)",
+    "dp": "(o_orderkey % 1000 + 1)", "n": "(o_orderkey * 3)", "m": "(o_custkey * 7)", "t": "(1700000000 + o_orderkey)",
+    "user": "concat('u', o_custkey % 50)", "word": "CASE o_orderstatus WHEN 'F' THEN '{F}' WHEN 'O' THEN '{O}' ELSE '{odd}' END",
+}
+
+
+def rendered(name: str, line: str, words: tuple[str, str], ids: tuple[int, int], expected: dict[str, str], odd: str = "odd") -> None:
+    """Register rendered_<name>: line and expected are templates over _PARTS; words and ids belong to the dispositions of
+    orders of status F and O, all others being odd ones."""
+    parts = _PARTS | {"word": _PARTS["word"].format(F=words[0], O=words[1], odd=odd)}
+
+    def filled(template: str) -> str:
+        for key, value in parts.items():
+            template = template.replace("{" + key + "}", value)
+        return template
+
+    told = {"disposition_id": f"CASE o_orderstatus WHEN 'F' THEN {ids[0]} WHEN 'O' THEN {ids[1]} ELSE 99 END", "time_ms": "{t} * 1000"} | expected
+    columns = ", ".join(f"CAST({filled(told.get(c, 'NULL'))} AS {_KINDS.get(c, 'VARCHAR')}) AS {c}" for c in _COLUMNS)
+
+    def run(spark, d):
+        rows = table(spark, d, "orders").select(
+            F.col("o_orderkey").alias("k"), F.expr(filled(line)).cast("binary").alias("payload"),
+            F.expr("named_struct('channel', 0Y, 'peer', '', 'listener', '', 'received_ns', 1800000000000000000L, 'truncated', false)").alias("env"), F.lit(0).alias("stratum"),
+        )
+        marked = materialize(rows.withColumn("id", F.col("k").cast("string").cast("binary")), "rendered")
+        got = plans.events(plans.derive(marked, Library(), processed_ms=0))
+        return got.select(F.unhex("record_id").cast("string").cast("bigint").alias("k"), "grammar", *_COLUMNS)
+
+    run.__name__ = f"rendered_{name}"
+    query(f"SELECT o_orderkey AS k, '{name.replace('_', '.')}' AS grammar, {columns} FROM orders")(run)
+
+
+_DATE = "date_format(timestamp_seconds(1700000000 + o_orderkey), '{}')"
+
+rendered("panos_traffic", "concat('1,', " + _DATE.format("yyyy/MM/dd HH:mm:ss") + ", ',77,TRAFFIC,end,1,', " + _DATE.format("yyyy/MM/dd HH:mm:ss") + """, ',', {src}, ',', {dst}, ',,,"Web, all",',
+    {user}, ',,ssl,vs1,trust,untrust,e1,e2,fwd,1,55,1,', {sp}, ',', {dp}, ',0,0,0x1,tcp,', {word}, ',', {n} + {m}, ',', {n}, ',', {m}, ',9,s,4,any')""",
+    ("allow", "reset-both"), (1, 8), {
+        "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "protocol": "'tcp'", "app": "'ssl'", "bytes_total": "{n} + {m}", "bytes_out": "{n}",
+        "bytes_in": "{m}", "user_name": "{user}", "rule": "'Web, all'", "severity_id": "1",
+        "unmapped": """'{"receive_time":"' || strftime(make_timestamp((1700000000 + o_orderkey) * 1000000), '%Y/%m/%d %H:%M:%S') || '","log_type":"TRAFFIC","subtype":"end","virtual_system":"vs1",' ||
+           '"outbound_interface":"e2","log_profile":"fwd","repeat_count":1,"nat_source_port":"0","nat_destination_port":"0","flags":"0x1","session_start":"s","url_category":"any"}'""",
+    })
+rendered("fortigate_traffic", """concat('devname="f 1" type="traffic" eventtime=', {t}, ' srcip=', {src}, ' srcport=', {sp}, ' dstip=', {dst}, ' dstport=', {dp}, ' app="two words" srcuser="', {user},
+    '" policyname=p1 action="', {word}, '" sentbyte=', {n}, ' rcvdbyte=', {m}, ' odd=')""", ("accept", "deny"), (1, 2), {
+        "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "app": "'two words'", "bytes_out": "{n}", "bytes_in": "{m}", "user_name": "{user}", "rule": "'p1'",
+        "device": "'f 1'", "severity_id": "1", "unmapped": """'{"type":"traffic","odd":""}'""",
+    })
+rendered("checkpoint_firewall", "concat('<134>Nov 14 22:13:20 gw time=', {t}, '|action=', {word}, '|origin=gw|src=', {src}, '|s_port=', {sp}, '|dst=', {dst}, '|service=', {dp}, '|proto=udp|bytes=', {n}, '|rule_name=a b|user=', {user})",
+    ("drop", "reject"), (3, 2), {
+        "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "protocol": "'udp'", "bytes_total": "{n}", "user_name": "{user}", "rule": "'a b'", "device": "'gw'",
+        "severity_id": "1", "unmapped": """'{"log_facility":16,"log_severity":"info","log_time":"Nov 14 22:13:20","log_host":"gw"}'""",
+    })
+rendered("suricata_alert", """concat('{"timestamp": "', """ + _DATE.format("yyyy-MM-dd") + """, 'T', """ + _DATE.format("HH:mm:ss") + """, '.250000+0100", "event_type": "alert", "src_ip": "', {src}, '", "src_port": ', {sp},
+    ', "dest_ip": "', {dst}, '", "dest_port": ', {dp}, ', "proto": "TCP", "host": "s1", "alert": {"action": "', {word}, '", "signature_id": 7, "severity": ', o_custkey % 4 + 1, '}, "n": [1, 2]}')""",
+    ("allowed", "blocked"), (1, 2), {
+        "time_ms": "{t} * 1000 - 3600000 + 250", "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "protocol": "'TCP'", "device": "'s1'",
+        "severity_id": "CASE o_custkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 1 END", "unmapped": """'{"event_type":"alert","n":"[1,2]"}'""",
+    })
+rendered("squid_access", "concat({t}, '.125    ', {n}, ' ', {src}, ' ', {word}, ' ', {m}, ' GET http://x/', o_orderkey, ' ', {user}, ' HIER/1 text/html')", ("TCP_MISS/200", "TCP_DENIED/403"), (1, 2), {
+        # seconds are read as a double, as an event's time is
+        "time_ms": "CAST((CAST({t} AS DOUBLE) + 0.125) * 1e9 AS BIGINT) // 1000000", "src_ip": "{src}", "bytes_total": "{m}", "user_name": "{user}", "unmapped": """'{"hierarchy":"HIER/1","content_type":"text/html"}'""",
+    }, odd="TCP_MEM_HIT/304")
+rendered("generic_leef", r"""concat('LEEF:2.0|Acme|Box|1|e7|src=', {src}, '\tsrcPort=', {sp}, '\tdst=', {dst}, '\tdstPort=', {dp}, '\tproto=tcp\ttotalBytes=', {n}, '\tusrName=', {user}, '\taction=', {word}, '\tdevTime=', {t} * 1000, '\tmore=a b')""",
+    ("permit", "drop"), (1, 3), {
+        "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "protocol": "'tcp'", "bytes_total": "{n}", "user_name": "{user}", "unmapped": """'{"more":"a b"}'""",
+    })
+rendered("generic_cef", r"""concat('CEF:0|Acme|Box|1|7|Name|', o_custkey % 11, '|src=', {src}, ' spt=', {sp}, ' dst=', {dst}, ' dpt=', {dp}, ' proto=tcp in=', {m}, ' out=', {n}, ' suser=', {user}, ' act=', {word}, ' msg=three more words')""",
+    ("permit", "reset"), (1, 8), {
+        "time_ms": "1800000000000", "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "protocol": "'tcp'", "bytes_in": "{m}", "bytes_out": "{n}", "user_name": "{user}",
+        "severity_id": "CASE o_custkey % 11 WHEN 10 THEN 6 ELSE (o_custkey % 11) // 2 + 1 END", "unmapped": """'{"cef_version":"0","msg":"three more words"}'""",
+    })
+rendered("cisco_asa", "concat('<166>Nov 14 22:13:20 fw %ASA-6-302013: ', {word}, ' outbound TCP connection 9 for outside:', {dst}, '/', {dp}, ' (x) to inside:', {src}, '/', {sp}, ' (y)')", ("Built", "Denied"), (1, 2), {
+        "time_ms": "1794694400000", "src_ip": "CASE WHEN true THEN {src} END", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}",
+        "protocol": "CASE WHEN o_orderstatus IN ('F', 'O') THEN 'TCP' END", "device": "'fw'", "severity_id": "1",
+        "disposition_id": "CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 END",
+        "unmapped": """'{"log_facility":20,"log_severity":"info","asa_text":"' || CASE o_orderstatus WHEN 'F' THEN 'Built' WHEN 'O' THEN 'Denied' ELSE 'odd' END ||
+           ' outbound TCP connection 9 for outside:' || {dst} || '/' || {dp} || ' (x) to inside:' || {src} || '/' || {sp} || ' (y)"' || CASE WHEN o_orderstatus IN ('F', 'O') THEN ',"direction":"outbound"' ELSE '' END || '}'""",
+    })
+rendered("pfsense_filterlog", "concat('<134>Nov 14 22:13:20 pf filterlog[9]: 5,,,1000,igb0,match,', {word}, ',in,4,0x0,,64,1,0,DF,6,tcp,', {n}, ',', {src}, ',', {dst}, ',', {sp}, ',', {dp})", ("pass", "block"), (1, 2), {
+        "time_ms": "1794694400000", "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "protocol": "'tcp'", "bytes_total": "{n}", "device": "'pf'",
+        "unmapped": """'{"log_facility":16,"log_severity":"info","tracker":"1000","reason":"match","ip_version":"4","tos":"0x0","ttl":64,"packet_id":"1","fragment_offset":"0","flags":"DF","protocol_id":"6"}'""",
+    })
+
+
+@query("""SELECT o_orderkey AS k, v AS verdict, CASE o_orderkey % 5 WHEN 0 THEN 'empty line' WHEN 1 THEN 'no grammar claims a freeform line' WHEN 2 THEN 'invalid JSON'
+    WHEN 3 THEN 'time 9000 is outside a plausible range; check the clock spec' ELSE 'no grammar claims a kv line' END AS detail,
+    CASE o_orderkey % 5 WHEN 2 THEN 'suricata.alert' WHEN 3 THEN 'squid.access' END AS best_guess,
+    CASE o_orderkey % 5 WHEN 2 THEN 98 WHEN 3 THEN 94 ELSE 0 END AS confidence
+  FROM (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN 'extract_failed' WHEN 3 THEN 'invalid' ELSE 'unclaimed' END AS v FROM orders)""")
+def rejections_told(spark, d):
+    """Orders rendered as lines that come to nothing, each for a reason of its own."""
+    line = """CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN concat('the order ', o_orderkey, ' is nothing we know') WHEN 2 THEN concat('{"event_type": "alert", "k" ', o_orderkey, '}')
+      WHEN 3 THEN concat('9 5 10.0.0.1 TCP_HIT/200 ', o_orderkey, ' GET http://x/1 - h t') ELSE concat('a=', o_orderkey, ' b=2 c=3 d=4') END"""
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"), F.expr(line).cast("binary").alias("payload"), F.lit(0).alias("stratum"),
+        F.expr("named_struct('channel', 0Y, 'peer', '', 'listener', '', 'received_ns', 1800000000000000000L, 'truncated', false)").alias("env"),
+    )
+    marked = materialize(rows.withColumn("id", F.col("k").cast("string").cast("binary")), "rendered")
+    got = plans.rejections(plans.derive(marked, Library(), processed_ms=0))
+    return got.select(
+        F.unhex("record_id").cast("string").cast("bigint").alias("k"), "verdict", "detail", "best_guess", F.round(F.col("confidence") * 100).cast("int").alias("confidence")
+    )
+
+
 # --- induction ------------------------------------------------------------------------------------
 
 @query("""SELECT kind, count(*) AS n FROM (SELECT CASE
