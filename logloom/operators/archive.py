@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import sql as S
@@ -35,19 +35,22 @@ def identified(deliveries: DataFrame) -> DataFrame:
 def stored(deliveries: DataFrame, archive: DataFrame | None = None, budget: int = STRATUM_BYTES) -> DataFrame:
     """New archive rows for deliveries (payload, env, ord): id, payload, env, stratum, seq, raw_len, seen.
 
-    Deliveries of one id fall together before the exchange; what the archive holds already is left out."""
+    Deliveries of one id fall together before the exchange; what the archive holds already is left out. New rows go on
+    behind the archive's last seq, in segments of their own: sealed ones stay as they are."""
     first = (
         identified(deliveries).groupBy("id")
         .agg(F.min_by(F.struct("payload", "env"), "ord").alias("first"), F.min("ord").alias("ord"), F.count("*").alias("seen"))
         .select("id", "first.payload", "first.env", "ord", F.octet_length("first.payload").cast("bigint").alias("raw_len"), "seen")
     )
-    if archive is not None:
-        first = first.join(archive.select("id"), "id", "left_anti")
-    return numbered(first, budget)
+    if archive is None:
+        return numbered(first, budget)
+    last = archive.agg(F.max("seq").alias("seq"), F.max("stratum").alias("stratum")).first()
+    new = first.join(archive.select("id"), "id", "left_anti")
+    return numbered(new, budget, -1 if last.seq is None else last.seq, -1 if last.stratum is None else last.stratum)
 
 
-def numbered(rows: DataFrame, budget: int = STRATUM_BYTES, start_seq: int = 0, start_stratum: int = 0) -> DataFrame:
-    """seq and stratum by ord, without bringing all rows to one task: ranges of ord are counted on their own and
+def numbered(rows: DataFrame, budget: int = STRATUM_BYTES, last_seq: int = -1, last_stratum: int = -1) -> DataFrame:
+    """seq and stratum by ord, behind the last ones given, without bringing all rows to one task: ranges of ord are counted on their own and
     shifted by what lies before them."""
     spread = rows.repartitionByRange("ord").sortWithinPartitions("ord").withColumn("part", F.spark_partition_id())
     within = Window.partitionBy("part").orderBy("ord", "id")
@@ -60,8 +63,8 @@ def numbered(rows: DataFrame, budget: int = STRATUM_BYTES, start_seq: int = 0, s
     joined = counted.join(F.broadcast(shifts), "part")
     upto = F.col("b0") + F.col("bytes") - F.col("raw_len")
     return joined.select(
-        "id", "payload", "env", (F.lit(start_stratum) + F.floor(upto / budget)).cast("int").alias("stratum"),
-        (F.lit(start_seq) + F.col("n0") + F.col("at") - 1).cast("bigint").alias("seq"), "raw_len", "seen",
+        "id", "payload", "env", (F.lit(last_stratum + 1) + F.floor(upto / budget)).cast("int").alias("stratum"),
+        (F.lit(last_seq) + F.col("n0") + F.col("at")).cast("bigint").alias("seq"), "raw_len", "seen",
     )
 
 
@@ -113,11 +116,11 @@ def roots(records: DataFrame, most: int = 1 << 30) -> DataFrame:
     return level.select("stratum", F.col("node").alias("root")).join(counts, "stratum")
 
 
-def sealed(records: DataFrame, sealed_ns: int = 0) -> DataFrame:
-    """stratum, prev_root, root, records, sealed_ns: the chain of segments, a row each."""
+def sealed(records: DataFrame, sealed_ns: int = 0, before: bytes = EMPTY_ROOT) -> DataFrame:
+    """stratum, prev_root, root, records, sealed_ns: the chain of segments behind the root given, a row each."""
     chain = F.lag("root").over(Window.orderBy("stratum"))  # one row a stratum
     return roots(records).select(
-        "stratum", F.coalesce(chain, F.lit(EMPTY_ROOT)).alias("prev_root"), "root", "records", F.lit(sealed_ns).cast("bigint").alias("sealed_ns")
+        "stratum", F.coalesce(chain, F.lit(before)).alias("prev_root"), "root", "records", F.lit(sealed_ns).cast("bigint").alias("sealed_ns")
     )
 
 
@@ -186,10 +189,86 @@ def prove(records: DataFrame, record_id: bytes) -> Proof | None:
         at = block
 
 
+class Busy(Exception):
+    """Another writer holds the archive."""
+
+
+class Ledger:
+    """An archive in a folder that all executors share, written by one writer at a time.
+
+    An append is a numbered part of three tables: records (new bytes), again (deliveries of known ids) and segments (the
+    seals of the new records, which go on from the last one). The part of segments is written last and commits the
+    append: parts without it are not read, and are written over when the append is tried again. An append of a number
+    that is committed already does nothing, so a stream's batches can be repeated."""
+
+    RECORDS = "id binary, payload binary, env struct<channel:tinyint,peer:string,listener:string,received_ns:bigint,truncated:boolean>, stratum int, seq bigint, raw_len bigint, seen bigint"
+    SEGMENTS = "stratum int, prev_root binary, root binary, records bigint, sealed_ns bigint"
+
+    def __init__(self, spark: SparkSession, path: str, budget: int = STRATUM_BYTES):
+        self.spark, self.path, self.budget = spark, path.rstrip("/"), budget
+
+    def _at(self, *parts: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def parts(self) -> list[int]:
+        """Numbers of the committed appends."""
+        fs, where = self._at("segments")
+        found = fs.listStatus(where) if fs.exists(where) else []
+        names = [s.getPath().getName() for s in found if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith("part="))
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        paths = [f"{self.path}/{name}/part={n}" for n in self.parts()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def records(self) -> DataFrame:
+        """Every record, `seen` raised by later deliveries."""
+        more = self._read("again", "id binary, more bigint").groupBy("id").agg(F.sum("more").alias("more"))
+        return self._read("records", self.RECORDS).join(more, "id", "left").withColumn("seen", F.col("seen") + F.coalesce("more", F.lit(0))).drop("more")
+
+    def segments(self) -> DataFrame:
+        return self._read("segments", self.SEGMENTS)
+
+    def append(self, deliveries: DataFrame, number: int | None = None, sealed_ns: int = 0) -> DataFrame:
+        """Store deliveries (payload, env, ord) and seal them; the new records, each id once."""
+        fs, lock = self._at("_writer")
+        if not fs.createNewFile(lock):
+            raise Busy(f"{self.path} has a writer; remove {lock.getName()} if it is gone")
+        try:
+            known = self.parts()
+            number = (known[-1] + 1 if known else 0) if number is None else number
+            if number not in known:
+                self._write(deliveries, number, sealed_ns)
+        finally:
+            fs.delete(lock, False)
+        return self.spark.read.schema(self.RECORDS).parquet(f"{self.path}/records/part={number}")
+
+    def _write(self, deliveries: DataFrame, number: int, sealed_ns: int) -> None:
+        held, before = self._read("records", self.RECORDS), self.segments()
+
+        def put(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/part={number}")
+
+        put(stored(deliveries, held, self.budget), "records")
+        put(identified(deliveries).groupBy("id").agg(F.count("*").alias("more")).join(held.select("id"), "id", "left_semi"), "again")
+        new = self.spark.read.schema(self.RECORDS).parquet(f"{self.path}/records/part={number}")
+        last = before.orderBy(F.desc("stratum")).select("root").first()
+        put(sealed(new, sealed_ns, bytes(last.root) if last else EMPTY_ROOT), "segments")
+
+
 # --- audit and replay -----------------------------------------------------------------------------
 
-def faults(records: DataFrame, segments: DataFrame) -> DataFrame:
-    """stratum, kind, record_id: content_mismatch (bytes that are not their id), root_mismatch, chain_break."""
+def faults(records: DataFrame, segments: DataFrame, sample: int | None = None) -> DataFrame:
+    """stratum, kind, record_id: content_mismatch (bytes that are not their id), root_mismatch, chain_break.
+
+    With a sample only the whole segments are audited that the first so many records lie in: a root is never held against a
+    part of its segment."""
+    if sample is not None:
+        counts = segments.select("stratum", F.sum("records").over(Window.orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+        # a row a segment; those whose predecessors do not fill the sample
+        chosen = counts.where(F.coalesce("before", F.lit(0)) < sample).select("stratum")
+        records, segments = records.join(chosen, "stratum", "left_semi"), segments.join(chosen, "stratum", "left_semi")
     content = records.where(F.unhex(F.sha2("payload", 256)) != F.col("id")).select(
         "stratum", F.lit("content_mismatch").alias("kind"), F.lower(F.hex("id")).alias("record_id")
     )
@@ -225,8 +304,41 @@ def totals(records: DataFrame) -> DataFrame:
     return records.groupBy("stratum").agg(F.count("*").alias("records"), F.sum("raw_len").alias("raw_bytes"), F.sum("seen").alias("seen"))
 
 
-def rewound(records: DataFrame, library: Library, generation: int, stratum: int | None = None, processed_ms: int | None = None) -> DataFrame:
-    """The archive derived again under the grammars of today: one row for each id, original receipt, replay channel."""
+def rewound(
+    records: DataFrame, library: Library, generation: int, stratum: int | None = None, processed_ms: int | None = None, limit: int | None = None
+) -> DataFrame:
+    """The archive derived again under the grammars of today: one row for each id, original receipt, replay channel.
+
+    limit: only the records of the lowest so many seq. Nothing is written but the derivation itself: what is done with it is
+    the caller's (see Rewind for a report)."""
     chosen = records if stratum is None else records.where(F.col("stratum") == stratum)
-    once = chosen.groupBy("id").agg(F.min_by(F.struct("payload", "env", "stratum"), "seq").alias("r")).select("id", "r.payload", "r.env", "r.stratum")
-    return plans.derive(once, library, generation=generation, processed_ms=processed_ms, replay=True)
+    once = chosen.groupBy("id").agg(F.min_by(F.struct("payload", "env", "stratum", "seq"), "seq").alias("r")).select("id", "r.payload", "r.env", "r.stratum", "r.seq")
+    if limit is not None:
+        once = once.orderBy("seq").limit(limit)
+    return plans.derive(once.drop("seq"), library, generation=generation, processed_ms=processed_ms, replay=True)
+
+
+@dataclass(frozen=True)
+class Rewind:
+    """What a replay came to. sample: up to twenty of its events."""
+
+    generation: int
+    dry_run: bool
+    records: int
+    remapped: int
+    still_rejected: int
+    by_grammar: dict[str, int]
+    sample: list[dict]
+
+    @staticmethod
+    def run(records: DataFrame, library: Library, generation: int = 1, stratum: int | None = None, limit: int | None = None, sinks=(), dry_run: bool = True) -> "Rewind":
+        """Derive again and report; the sinks (functions of the derivation) are served unless it is a dry run."""
+        derived = rewound(records, library, generation, stratum, limit=limit)
+        counts = {(r.verdict, r.grammar): r.n for r in derived.groupBy("verdict", "grammar").agg(F.count("*").alias("n")).collect()}
+        good = {g: n for (v, g), n in sorted(counts.items(), key=str) if v == "mapped"}
+        sample = plans.events(derived).orderBy("record_id").select("record_id", "grammar", "grammar_version", "coverage").limit(20).collect()
+        if not dry_run:
+            for sink in sinks:
+                sink(derived)
+        total = sum(counts.values())
+        return Rewind(generation, dry_run, total, sum(good.values()), total - sum(good.values()), good, [r.asDict() for r in sample])

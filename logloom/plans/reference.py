@@ -446,7 +446,7 @@ rendered("squid_access", "concat({t}, '.125    ', {n}, ' ', {src}, ' ', {word},
     }, odd="TCP_MEM_HIT/304")
 rendered("generic_leef", r"""concat('LEEF:2.0|Acme|Box|1|e7|src=', {src}, '\tsrcPort=', {sp}, '\tdst=', {dst}, '\tdstPort=', {dp}, '\tproto=tcp\ttotalBytes=', {n}, '\tusrName=', {user}, '\taction=', {word}, '\tdevTime=', {t} * 1000, '\tmore=a b')""",
     ("permit", "drop"), (1, 3), {
-        "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "protocol": "'tcp'", "bytes_total": "{n}", "user_name": "{user}", "unmapped": """'{"more":"a b"}'""",
+        "src_ip": "{src}", "src_port": "{sp}", "dst_ip": "{dst}", "dst_port": "{dp}", "protocol": "'tcp'", "bytes_total": "{n}", "user_name": "{user}", "unmapped": """'{"leef_version":"2.0","more":"a b"}'""",
     })
 rendered("generic_cef", r"""concat('CEF:0|Acme|Box|1|7|Name|', o_custkey % 11, '|src=', {src}, ' spt=', {sp}, ' dst=', {dst}, ' dpt=', {dp}, ' proto=tcp in=', {m}, ' out=', {n}, ' suser=', {user}, ' act=', {word}, ' msg=three more words')""",
     ("permit", "reset"), (1, 8), {

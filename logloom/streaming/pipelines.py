@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from logloom.operators.archive import identified
+from logloom.operators.archive import Ledger, identified
 from logloom.operators.late import HOUR, MINUTE, Lateness, Timeline
 from logloom.plans import derive as plans
 from logloom.plans.grammar import Library
 from logloom.sources.lines import Bucket
+from logloom.storage import discard
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -28,14 +30,17 @@ class Failures(Exception):
 def serve(lines: DataFrame, library: Library, sinks: dict[str, Sink], checkpoint: str, archive: str | None = None, trigger: dict[str, Any] | None = None) -> StreamingQuery:
     """Run deliveries (payload, env) through the engine: bytes are stored first, then read and handed to the sinks.
 
-    Grammars that have changed are taken up at the next batch. A sink's failure does not keep the others from
-    their batch; it is raised when all are done, so that the batch is tried again."""
+    With an archive (a folder, see Ledger) a batch is an append: known bytes add to `seen` and are not derived again, new
+    ones are numbered and sealed. Without one every delivery is derived. Grammars that have changed are taken up at the next
+    batch. A sink's failure does not keep the others from their batch; it is raised when all are done, so that the batch is
+    tried again, for which its append stands."""
     def batch(df: DataFrame, number: int) -> None:
         library.refresh()
-        rows = identified(df).withColumns({"stratum": F.lit(-1), "seq": F.lit(None).cast("bigint")})
         if archive:
-            rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{archive}/batch={number}")
-            rows = df.sparkSession.read.parquet(f"{archive}/batch={number}")
+            order = F.struct(F.coalesce("env.received_ns", F.lit(0)), F.xxhash64("payload", "env.peer"))
+            rows = Ledger(df.sparkSession, archive).append(df.withColumn("ord", order), number)
+        else:
+            rows = identified(df).withColumns({"stratum": F.lit(-1), "seq": F.lit(None).cast("bigint")})
         derived = plans.derive(rows, library)
         wrong = {}
         for name, sink in sinks.items():
@@ -43,12 +48,33 @@ def serve(lines: DataFrame, library: Library, sinks: dict[str, Sink], checkpoint
                 sink(derived, number)
             except Exception as e:  # any sink may fail in its own way
                 wrong[name] = e
+        discard(derived)
         if wrong:
             raise Failures("; ".join(f"{k}: {v}" for k, v in wrong.items()))
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+class Progress(StreamingQueryListener):
+    """Rows and rate of each micro-batch, handed to a function as they are told."""
+
+    def __init__(self, tell: Callable[[dict[str, Any]], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None:
+        self.tell({"event": "started", "query": str(event.id)})
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell({"event": "progress", "query": str(p.id), "batch": p.batchId, "rows": p.numInputRows, "rows_per_s": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.tell({"event": "ended", "query": str(event.id), "error": event.exception})
+
+
 def _timeout(expire: bool) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
 
