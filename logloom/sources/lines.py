@@ -32,6 +32,16 @@ def enveloped(lines: DataFrame, channel: str = "file", peer: str = "", listener:
     ))
 
 
+def posted(bodies: DataFrame) -> DataFrame:
+    """payload of each line of bodies that were posted (column body, binary; other columns stay): lines end at line feeds
+    alone, carriage returns at their end go, empty lines go, bytes stay."""
+    digits = F.regexp_replace(F.hex("body"), "(..)", "$1 ")
+    line = F.explode(F.split(digits, "0A ")).alias("h")
+    kept = [c for c in bodies.columns if c != "body"]
+    bare = F.regexp_replace(F.regexp_replace("h", "(?:0D )+$", ""), " ", "")
+    return bodies.select(*kept, line).withColumn("h", bare).where("h <> ''").select(*kept, F.unhex("h").alias("payload"))
+
+
 def not_blank(lines: DataFrame) -> DataFrame:
     """Without payloads of ASCII white space alone."""
     return lines.where(~F.hex("payload").rlike("^(?:09|0A|0B|0C|0D|20)*$"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import socket
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,12 @@ def write_ndjson(derived: DataFrame, path: str, mode: str = "append") -> None:
     documents(derived).write.mode(mode).text(path)
 
 
+def note(spark, path: str, actor: str, action: str, detail: str = "") -> None:
+    """Append to the log of what was done and by whom: at, actor, action, detail."""
+    row = spark.createDataFrame([(actor, action, detail)], "actor string, action string, detail string")
+    row.select(F.current_timestamp().alias("at"), "*").write.mode("append").parquet(path)
+
+
 def lake(events: DataFrame, by: str = "time") -> DataFrame:
     """Events with the partition columns of the lake: date (UTC, of the event or of processing) and source."""
     day = F.to_date(F.timestamp_millis("time_ms")) if by == "time" else F.current_date()
@@ -35,11 +44,10 @@ def lake(events: DataFrame, by: str = "time") -> DataFrame:
 
 
 def write_lake(events: DataFrame, path: str, mode: str = "append", by: str = "time") -> None:
-    """Parquet by date and source. Rows are brought together by both, and split by record so that a busy source
-    writes from many tasks."""
-    spread = lake(events, by).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.lit(8)))
+    """Parquet by date and source. Rows are brought together by both in an exchange that Spark balances by measured size:
+    small partitions are joined, and a busy source is split over as many tasks as it needs."""
     (
-        spread.repartition("date", "source", "salt").drop("salt").write.mode(mode).option("compression", "zstd")
+        lake(events, by).hint("rebalance", "date", "source").write.mode(mode).option("compression", "zstd")
         .option("parquet.bloom.filter.enabled#record_id", "true").partitionBy("date", "source").parquet(path)
     )
 
@@ -85,6 +93,25 @@ def write_cef(events: DataFrame, path: str, mode: str = "append") -> None:
     cef_lines(events).select("value").write.mode(mode).text(path)
 
 
+def send_cef(events: DataFrame, host: str, port: int, most: int = 8192) -> DataFrame:
+    """Send each event as one datagram; a row for each task with what was sent and what was too long for `most` bytes. The
+    result is to be acted on (collected, written) for anything to be sent, and may be sent twice if a task is tried again."""
+    def run(batches):
+        sent = long = 0
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as out:
+            for b in batches:
+                for value in b.column("value").to_pylist():
+                    data = value.encode("utf-8")
+                    if len(data) > most:
+                        long += 1
+                    else:
+                        out.sendto(data, (host, port))
+                        sent += 1
+        yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64()), pa.array([long], pa.int64())], ["sent", "too_long"])
+
+    return cef_lines(events).select("value").mapInArrow(run, "sent bigint, too_long bigint")
+
+
 def recent(events: DataFrame, limit: int = 100, grammar: str | None = None) -> DataFrame:
     """The newest events first; of equal times by record."""
     chosen = events if grammar is None else events.where(F.col("grammar") == grammar)
