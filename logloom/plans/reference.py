@@ -388,6 +388,9 @@ _PARTS = {  # parts of a line, as SQL that both engines know
 }
 
 
+RENDERED: dict[str, Query] = {}  # the derivations of the rendered lines
+
+
 def rendered(name: str, line: str, words: tuple[str, str], ids: tuple[int, int], expected: dict[str, str], odd: str = "odd") -> None:
     """Register rendered_<name>: line and expected are templates over _PARTS; words and ids belong to the dispositions of
     orders of status F and O, all others being odd ones."""
@@ -401,15 +404,18 @@ def rendered(name: str, line: str, words: tuple[str, str], ids: tuple[int, int],
     told = {"disposition_id": f"CASE o_orderstatus WHEN 'F' THEN {ids[0]} WHEN 'O' THEN {ids[1]} ELSE 99 END", "time_ms": "{t} * 1000"} | expected
     columns = ", ".join(f"CAST({filled(told.get(c, 'NULL'))} AS {_KINDS.get(c, 'VARCHAR')}) AS {c}" for c in _COLUMNS)
 
-    def run(spark, d):
+    def derived(spark, d):
         rows = table(spark, d, "orders").select(
             F.col("o_orderkey").alias("k"), F.expr(filled(line)).cast("binary").alias("payload"),
             F.expr("named_struct('channel', 0Y, 'peer', '', 'listener', '', 'received_ns', 1800000000000000000L, 'truncated', false)").alias("env"), F.lit(0).alias("stratum"),
         )
         marked = materialize(rows.withColumn("id", F.col("k").cast("string").cast("binary")), "rendered")
-        got = plans.events(plans.derive(marked, Library(), processed_ms=0))
-        return got.select(F.unhex("record_id").cast("string").cast("bigint").alias("k"), "grammar", *_COLUMNS)
+        return plans.derive(marked, Library(), processed_ms=0)
+
+    def run(spark, d):
+        return plans.events(derived(spark, d)).select(F.unhex("record_id").cast("string").cast("bigint").alias("k"), "grammar", *_COLUMNS)
 
+    RENDERED[name] = derived
     run.__name__ = f"rendered_{name}"
     query(f"SELECT o_orderkey AS k, '{name.replace('_', '.')}' AS grammar, {columns} FROM orders")(run)
 
@@ -486,6 +492,35 @@ def rejections_told(spark, d):
     )
 
 
+@query("""SELECT lower(hex(CAST(o_orderkey AS VARCHAR))) AS record_id, concat('CEF:0|Acme|Box|2.0.0|4001|generic.cef|',
+    CASE o_custkey % 11 WHEN 10 THEN 6 ELSE (o_custkey % 11) // 2 + 1 END, '|rt=1800000000000 src=10.0.', o_custkey % 250, '.1 spt=', o_custkey % 60000 + 1,
+    ' dst=192.0.2.', o_orderkey % 250, ' dpt=', o_orderkey % 1000 + 1, ' proto=tcp in=', o_custkey * 7, ' out=', o_orderkey * 3, ' suser=u', o_custkey % 50,
+    ' act=', CASE o_orderstatus WHEN 'F' THEN 'permit' WHEN 'O' THEN 'reset' ELSE 'odd' END, ' recordId=', lower(hex(CAST(o_orderkey AS VARCHAR)))) AS value FROM orders""")
+def sink_cef_rendered(spark, d):
+    return sinks.cef_lines(plans.events(RENDERED["generic_cef"](spark, d)))
+
+
+@query("""SELECT 10 AS grammars_total, 3.0::DOUBLE AS grammars_per_line, 1.0::DOUBLE AS shape_hit_rate, count(*) AS lines_triaged, 0.7::DOUBLE AS work_avoided FROM orders""")
+def triage_rendered(spark, d):
+    """JSON lines are held against the two JSON grammars and the one of free form."""
+    got = inspect.selectivity(RENDERED["suricata_alert"](spark, d), len(Library().all()))
+    return got.select(F.col("grammars_total").cast("int").alias("grammars_total"), *[F.col(c).cast("double").alias(c) for c in ("grammars_per_line", "shape_hit_rate")], "lines_triaged", F.col("work_avoided").cast("double").alias("work_avoided"))
+
+
+@query("""SELECT lower(hex(CAST(o_orderkey AS VARCHAR))) AS record_id, 4001 AS class_uid, '{"more":"a b"}' AS unmapped, '10.0.' || (o_custkey % 250) || '.1' AS src_ip,
+    'generic.leef' AS grammar, 'replay' AS channel, o_orderkey * 3 AS bytes FROM orders""".replace('{"more"', '{"leef_version":"2.0","more"'))
+def sink_documents_rendered(spark, d):
+    """Documents as they are written, read back: parts of the event, what nothing mapped, and the chain of custody."""
+    derived = RENDERED["generic_leef"](spark, d).withColumn("channel", F.lit(5).cast("tinyint"))
+    v = F.parse_json("value")
+    at = lambda path, kind: F.variant_get(v, path, kind)
+    return sinks.documents(derived).select(
+        at("$.custody.record_id", "string").alias("record_id"), at("$.class_uid", "int").alias("class_uid"), F.to_json(at("$.unmapped", "variant")).alias("unmapped"),
+        at("$.src_endpoint.ip", "string").alias("src_ip"), at("$.custody.grammar", "string").alias("grammar"), at("$.custody.channel", "string").alias("channel"),
+        at("$.traffic.bytes", "bigint").alias("bytes"),
+    )
+
+
 # --- induction ------------------------------------------------------------------------------------
 
 @query("""SELECT kind, count(*) AS n FROM (SELECT CASE
