@@ -40,6 +40,13 @@ def test_split_quoted_against_a_scan(spark):
     assert on_lines(spark, data, extract.split_quoted(S.col("line"), ",")) == [scan(t) for t in data]
 
 
+def test_a_mark_in_a_line_forges_no_group(spark):
+    mark = text.MARK
+    data = [f"zz{mark}evil{mark}", f"abc7{mark}", f"x{mark}abc7", "abc8"]
+    assert on_lines(spark, data, text.captured(S.col("line"), r"abc(\d)", [1])) == [None, ["7"], ["7"], ["8"]]
+    assert on_lines(spark, [f'a{mark}b,"c,{mark}d"'], extract.split_quoted(S.col("line"), ",")) == [["a\ufffdb", "c,\ufffdd"]]
+
+
 def test_kv_against_a_pattern(spark):
     rng = random.Random(2)
     data = ["".join(rng.choice(['a=', 'b1=', '"', ' ', 'x', 'y z', '=', '|']) for _ in range(rng.randint(0, 12))) for _ in range(400)]
